@@ -1,27 +1,29 @@
 """Language identification by compression.
 
-For each language a Zstandard raw-content dictionary is filled with labelled texts. A text is compressed with every
-dictionary, in pieces of PIECE bytes so that a long text doesn't become its own dictionary, and the language with the
-smallest total wins. If the runner-up is hardly larger, the text is rejected.
+For each language a Zstandard raw-content dictionary is filled with labelled texts. A text, in lower case, is compressed
+with every dictionary, in pieces of PIECE bytes so that a long text doesn't become its own dictionary, and the language
+with the smallest total wins. If the runner-up is hardly larger, the text is rejected.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffer
 
 #: Bound of what is fitted: labelled documents per language, those of the least hashed ids, and bytes of dictionary.
-SAMPLE_DOCS, DICTIONARY_BYTES = 200, 64 << 10
-PIECE, LEVEL = 4096, 3
+SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
+#: Levels below 5 look up one place only for each hash, which makes sizes much less telling.
+PIECE, LEVEL = 8192, 5
 #: Least share of its size by which the runner-up must exceed the smallest.
-MARGIN = 0.02
+MARGIN = 0.005
 
 
 def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -29,14 +31,15 @@ def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DI
     at least. Null and empty languages and texts teach nothing."""
     known = docs.where((F.length(F.col("lang").cast("string")) > 0) & (F.length(F.col("text").cast("string")) > 0))
     known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().toLocalIterator())
-    out = {}
-    for lang in languages:
-        # a heap of sample_docs rows per task, and one row per document of the sample; ids first, their texts later
-        least = known.where(F.col("lang") == lang).select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-        texts = [r.text.encode() for r in known.where((F.col("lang") == lang) & (F.col("h") <= least)).select("h", "text").orderBy("h", "text").limit(sample_docs).toLocalIterator()]
-        out[lang] = _filled(texts, size)
-    return out
+    ranked = known.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    last = {r.lang: r.last for r in ranked.where(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last")).toLocalIterator()}
+    if not last:
+        return {}
+    sampled = reduce(Column.__or__, [(F.col("lang") == lang) & (F.col("h") <= h) for lang, h in last.items()])
+    texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in sorted(last)}
+    for r in known.where(sampled).toLocalIterator():  # sample_docs for each language
+        texts[r.lang].append((r.h, r.text))
+    return {lang: _filled([t.lower().encode() for _, t in sorted(rows)[:sample_docs]], size) for lang, rows in texts.items()}
 
 
 def _filled(texts: list[bytes], size: int) -> bytes:
@@ -77,7 +80,7 @@ def identifier(docs: DataFrame, dicts: dict[str, bytes], level: int = LEVEL):
         names = list(shared.value)
         language: list[str | None] = []
         margin: list[float] = []
-        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        for part in slices(pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["text"])):
             buf, off = text_buffer(part.column(0))
             data = memoryview(buf)
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
