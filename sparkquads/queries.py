@@ -24,7 +24,7 @@ SQL: dict[str, str] = {}
 
 _Q = f"with q as ({mapping.sql()})"
 #: A quad of the tables that all positions of a pattern are bound to.
-PROBE = {"s": f"<{X}customer/7>", "p": f"<{X}customer#nation>", "o": f"<{X}nation/3>", "g": f"<{X}graph/customer>"}
+PROBE = {"s": f"<{X}customer/17>", "p": f"<{X}customer#nation>", "o": f"<{X}nation/3>", "g": f"<{X}graph/customer>"}
 NATION, THIRD = PROBE["p"], PROBE["o"]
 LITERAL_SQL = r"(?s)^\"(.*)\"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$".replace('\\"', '"')
 

@@ -177,7 +177,9 @@ class QuadStore:
         """(s, p, o, g) as terms; the order is no contract."""
         base = self._base().select(*QUAD)
         if self.layout == "dictionary":
-            base = layouts.decoded(base, self.terms(), self.manifest["terms"])
+            known = (self._merged() or Pattern()).bound  # needs no look-up
+            base = layouts.decoded(base, self.terms(), self.manifest["terms"], tuple(c for c in QUAD if c not in known))
+            base = base.withColumns({c: F.lit(x) for c, x in known.items()}).select(*QUAD)
         tail = self._tail()
         return base if tail is None else base.unionByName(tail)
 
