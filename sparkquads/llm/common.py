@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A null id takes part as this value; it is turned back into null in results.
 NULL_ID = -(2**63)
 #: Bytes of text that are tokenised at once; a longer text is taken whole, by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _ours: list[str] = []
 

@@ -28,6 +28,8 @@ from .words import U, Words
 SHARD = 40_000
 #: Phrases in one automaton, so that their words can be numbered by code points.
 MOST_PHRASES = 0x10F000 // PHRASE
+#: Bytes of text that a task gathers before it sends them.
+RUN_BYTES = 12 << 20
 
 
 def _string(words: list[bytes], numbers: dict[bytes, int]) -> str:
@@ -88,7 +90,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     text = data[words.begin[lo] : words.end[hi - 1]]
                     held.setdefault(int(shard[b]), []).append((int(doc[b]), lo - int(first[b]), (at[b:e] - lo).tolist(), text))
                     size += len(text)
-                if size > 48 << 20:
+                if size > RUN_BYTES:
                     yield flush()
                     held.clear()
                     size = 0

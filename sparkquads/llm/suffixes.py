@@ -26,6 +26,8 @@ from .words import U, Words, anchors
 BUCKET = 40_000
 #: Splitters come from about this many sampled suffixes per bucket; the sample only balances the buckets.
 PER_BUCKET = 8
+#: Bytes of suffixes in a sorted run.
+RUN_BYTES = 12 << 20
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -192,7 +194,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         key = len(_suffix(data, words, a, a + PHRASE))
                     held.append((s, d, a - lo, key, back))
                     size += len(s) + len(back)
-                if size > 48 << 20:
+                if size > RUN_BYTES:
                     yield flush()
                     held.clear()
                     size = 0
