@@ -108,5 +108,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         i = j
 
 
+def pieces_of(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about `most` bytes, or of one row that is larger."""
+    a = total = 0
+    for i, n in enumerate(sizes):
+        if total + n > most and i > a:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if len(sizes) > a:
+        yield a, len(sizes)
+
+
 def parts_of(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))

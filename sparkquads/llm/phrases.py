@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, partitions, slices
+from .common import parts_of, partitions, pieces_of, slices
 from .repeats import BACK, LENGTH, PHRASE, SPANS, around, candidates, combined, hash_windows, intervals, merged, repeated
 from .words import U, Words
 
@@ -128,18 +128,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     place.append(end - PHRASE + 1)
                     phrase.append(i + k)
         row, place, phrase = (np.array(x, np.int64) for x in (row, place, phrase))
-        sizes = [len(s[3]) for s in held]
-        words = Words(np.frombuffer(b"".join(s[3] for s in held), np.uint8), np.cumsum([0, *sizes]))
         doc = np.array([s[0] for s in held], np.int64)[row]
         offset = np.array([s[1] for s in held], np.int64)[row]
-        at = words.first[row] + place
-        windows = hash_windows(words, LENGTH)
-        flags = np.zeros((BACK + 1, len(at)), bool)
+        order = np.argsort(row, kind="stable")
+        window = np.zeros((BACK + 1, len(row)), U)  # hash of the passage that starts d words before, 0 if there is none
+        for a, b in pieces_of([len(s[3]) for s in held]):
+            words = Words(np.frombuffer(b"".join(s[3] for s in held[a:b]), np.uint8), np.cumsum([0, *(len(s[3]) for s in held[a:b])]))
+            hashes = hash_windows(words, LENGTH)
+            some = order[np.searchsorted(row, a, sorter=order) : np.searchsorted(row, b, sorter=order)]
+            for d in range(BACK + 1):
+                inside = some[place[some] >= d]
+                window[d, inside] = hashes[words.first[row[inside] - a] + place[inside] - d]
+        flags = np.zeros((BACK + 1, len(row)), bool)
         for d in range(BACK + 1):
-            inside = np.flatnonzero(place >= d)
-            window = windows[at[inside] - d]
-            fits = inside[window != 0]
-            flags[d, fits] = repeated(combined(phrase[fits].astype(U), window[window != 0]), doc[fits])
+            fits = np.flatnonzero(window[d])
+            flags[d, fits] = repeated(combined(phrase[fits].astype(U), window[d, fits]), doc[fits])
         return intervals(doc, offset + place, flags)
 
     sent = texts.mapInArrow(segments, "shard long, texts binary")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids, parts_of, partitions, slices
+from .common import parts_of, partitions, pieces_of, slices
 from .repeats import BACK, LENGTH, PHRASE, SMALL, SPANS, around, candidates, combined, intervals, merged, repeated
 from .words import U, Words, anchors
 
@@ -227,15 +227,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             p = pieces[r]
             doc[j], at[j] = p[2][i], p[3][i]
             backs.append(p[4][i])
-        before = Words(np.frombuffer(b"".join(backs), np.uint8), np.cumsum([0, *map(len, backs)]))
-        had = np.diff(before.first)
+        had, back = np.zeros(n, np.int64), np.zeros((BACK + 1, n), U)
+        for a, b in pieces_of([len(x) for x in backs]):
+            before = Words(np.frombuffer(b"".join(backs[a:b]), np.uint8), np.cumsum([0, *map(len, backs[a:b])]))
+            had[a:b] = np.diff(before.first)
+            for d in range(1, BACK + 1):
+                rows = np.flatnonzero(had[a:b] >= d)
+                back[d, a + rows] = before.grams(d)[before.first[rows + 1] - d]
         flags = np.zeros((BACK + 1, n), bool)
         for d in range(BACK + 1):
             fits = np.flatnonzero((size >= LENGTH - d) & (had >= d))
             same = np.cumsum(lcp < LENGTH - d)[fits].astype(U)
-            if d:
-                same = combined(same, before.grams(d)[before.first[fits + 1] - d])
-            flags[d, fits] = repeated(same, doc[fits])
+            flags[d, fits] = repeated(combined(same, back[d, fits]) if d else same, doc[fits])
         return intervals(doc, at, flags)
 
     sent = texts.mapInArrow(runs, "bucket long, run binary")
