@@ -4,7 +4,7 @@ A source's expected copies per document bring its characters to its share of the
 prefix-summed over the source's documents, a random offset in [0, 1) is added, and a document is emitted once for each
 integer that its step of the sum crosses. Sums are integers, in millionths of a copy, so they are exact in any order.
 
-The prefix sum is distributed: documents fall into blocks of consecutive ids, blocks are summed and prefix-summed, and
+The prefix sum is distributed: documents fall into blocks of consecutive ids (in doubles, which keep the order of any ids), blocks are summed and prefix-summed, and
 within a block a window adds the rest. So no task holds a whole source, however large it is.
 """
 
@@ -57,9 +57,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         F.col("s").alias("ss"),
         F.coalesce(F.round(F.lit(float(ONE) * epochs) * F.try_divide("w", "all_w") * F.try_divide(F.col("all_size").cast("double"), F.col("size").cast("double"))), F.lit(0.0)).cast("long").alias("e"),
         F.col("low"),
-        F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / F.lit(block)))).cast("long").alias("width"),
+        F.greatest(F.lit(1.0), (F.col("high").cast("double") - F.col("low").cast("double") + 1) / F.ceil(F.col("n") / F.lit(block))).alias("width"),
     )
-    rows = rows.join(stats, F.col("s").eqNullSafe(F.col("ss"))).withColumn("b", F.coalesce(F.floor((F.col("d") - F.col("low")) / F.col("width")).cast("long"), F.lit(-1)))
+    rows = rows.join(stats, F.col("s").eqNullSafe(F.col("ss"))).withColumn("b", F.coalesce(F.floor((F.col("d").cast("double") - F.col("low").cast("double")) / F.col("width")), F.lit(-1)))
     blocks = rows.groupBy("s", "b").agg(F.sum("e").alias("sum"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("s").alias("bs"), F.col("b").alias("bb"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
