@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 ONE = 1_000_000
 #: Without given weights a source weighs the power TEMPERATURE of its characters.
 TEMPERATURE = 0.5
@@ -23,6 +25,13 @@ EPOCHS = 1.0
 SEED = "mix-1"
 #: Documents in a block, about.
 BLOCK = 50_000
+#: Rows of a table of sources or blocks up to which it is broadcast, so that documents move once only, to their blocks.
+MOST_BROADCAST = 100_000
+
+
+def _side(df: DataFrame, what: str) -> DataFrame:
+    df = written(df, what)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def _offset(source: Column, seed: str) -> Column:
@@ -59,11 +68,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         F.col("low"),
         F.greatest(F.lit(1.0), (F.col("high").cast("double") - F.col("low").cast("double") + 1) / F.ceil(F.col("n") / F.lit(block))).alias("width"),
     )
-    rows = rows.join(stats, F.col("s").eqNullSafe(F.col("ss"))).withColumn("b", F.coalesce(F.floor((F.col("d").cast("double") - F.col("low").cast("double")) / F.col("width")), F.lit(-1)))
+    rows = rows.join(_side(stats, "sources"), F.col("s").eqNullSafe(F.col("ss"))).withColumn("b", F.coalesce(F.floor((F.col("d").cast("double") - F.col("low").cast("double")) / F.col("width")), F.lit(-1)))
     blocks = rows.groupBy("s", "b").agg(F.sum("e").alias("sum"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("s").alias("bs"), F.col("b").alias("bb"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    rows = rows.where("e > 0").join(blocks, F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb")))
+    rows = rows.where("e > 0").join(_side(blocks, "blocks"), F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb")))
     inside = Window.partitionBy("s", "b").orderBy("d", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
     reach = F.col("start") + F.sum("e").over(inside) + _offset(F.col("s"), seed)
     rows = rows.select("row", "e", reach.alias("reach"))
