@@ -304,16 +304,27 @@ def bgp_join(spark, d):
     return basic_graph_pattern(lambda p: quads.where(p.condition()), [("?customer", NATION, "?n"), ("?n", f"<{X}nation#region>", "?region"), ("?n", f"<{X}nation#name>", "?name")]).select("customer", "region", "name")
 
 
-@query()
-def stream_ingest(spark, d):
-    """N-Quads files added to an empty store by a stream."""
+def _streamed(spark: SparkSession, d: str) -> QuadStore:
+    """All quads as N-Quads files, added to an empty store by a stream."""
     from .streaming.ingest import ingest
 
     source = fresh(spark, "lines")
-    rdf_text.write(_match(spark, d, p=NATION), source, "nq")
+    rdf_text.write(_quads(spark, d), source, "nq")
     store = QuadStore.empty(spark)
     ingest(spark, source, store, fresh(spark, "offsets")).awaitTermination()
-    return QuadStore.open(spark, store.path).quads()
+    return QuadStore.open(spark, store.path)
+
+
+@query()
+def stream_ingest(spark, d):
+    """All quads pass the stream; of the store, those of one predicate."""
+    return _streamed(spark, d).match(p=NATION).quads()
+
+
+@query(f"{_Q} select distinct * from q")
+def stream_ingest_all(spark, d):
+    """All quads pass the stream, and all of the store are compared; adding has set semantics."""
+    return _streamed(spark, d).quads()
 
 
 SQL["stream_ingest"] = f"{_Q} select * from q where p = '{NATION}'"
