@@ -24,7 +24,8 @@ from .words import U, Words, mix
 SHINGLE = 3
 #: Least Jaccard similarity of a verified pair.
 THRESHOLD = 0.5
-BANDS, WIDTH = 60, 5
+#: A pair of similarity J is a candidate with probability 1 - (1 - J^WIDTH)^BANDS, 0.907 at the threshold.
+BANDS, WIDTH = 75, 5
 M = BANDS * WIDTH
 #: Parameters of the sketch: base of the truncated logarithm, rate, largest register value.
 B, RATE, TOP = 1.001, 20.0, 65535

@@ -99,6 +99,21 @@ def test_thousands_of_copies_are_one_group(spark):
     assert got.count() == 2000 and got.where("keep").count() == 1 and {r.group_id for r in got.select("group_id").distinct().collect()} == {0}
 
 
+def test_isolated_pairs_at_the_threshold_are_candidates():
+    """1,500 pairs of sets of 90 shingles that share 60 of 120, by the bands alone."""
+    import numpy as np
+
+    from sparkquads.llm.words import mix
+
+    pairs, h = 1500, []
+    for k in range(pairs):
+        x = mix(np.arange(120 * k, 120 * k + 120, dtype=np.uint64))
+        h += [np.sort(x[:90]), np.sort(np.r_[x[:60], x[90:]])]
+    found = setsketch.bands(setsketch.registers(np.concatenate(h), np.arange(2 * pairs + 1) * 90))
+    shared = (found[0::2] == found[1::2]).any(axis=1).mean()
+    assert setsketch.THRESHOLD == 60 / 120 and shared >= 0.9
+
+
 def test_estimates_are_close():
     import numpy as np
 
