@@ -63,6 +63,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes what written() stored, once nothing that is still to run reads it."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _drop(path)
+
+
 def ids(column: str | Column = "doc_id") -> Column:
     """An id as a long that is never null, for keys of joins and groups."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))

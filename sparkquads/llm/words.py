@@ -16,6 +16,8 @@ U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The lowest so many bytes of a number.
+_MASKS = np.array([2 ** (8 * i) - 1 for i in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,12 +86,19 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
+        """Of each word: pieces of 8 bytes, scattered twice with their places in between, added up with the length."""
         if self._hash is None:
-            n = len(self.buf)
-            p, q = powers(_BASE, n + 1)
-            total = np.zeros(n + 1, U)
-            np.cumsum((self.buf.astype(U) + U(1)) * p[:n], out=total[1:])
-            self._hash = mix((total[self.end] - total[self.begin]) * q[self.begin])
+            size = self.end - self.begin
+            pieces = (size + 7) // 8
+            first = np.cumsum(pieces) - pieces
+            word = np.repeat(np.arange(len(size)), pieces)
+            place = np.arange(len(word)) - first[word]
+            at = self.begin[word] + 8 * place
+            padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+            raw = np.ndarray((len(self.buf) + 1,), "<u8", padded.data, strides=(1,))[at] & _MASKS[np.minimum(self.end[word] - at, 8)]
+            scattered = mix(mix(raw) + (place.astype(U) + U(1)) * U(_STEP))
+            total = np.add.reduceat(scattered, first) if len(first) else scattered
+            self._hash = mix(total + size.astype(U) * U(_BASE))
         return self._hash
 
     def grams(self, k: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from sparkquads.llm import decontaminate, hashtree, hostrules, langid, lines, mixing, phrases, setsketch, suffixes, warc
@@ -67,8 +68,8 @@ def shingles(text):
     return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
 
-def test_near_duplicates(spark):
-    rows = awkward() + [(1000 + i, t, s, lg) for i, t, s, lg in copies()]
+def brute_groups(rows):
+    """The rows' numbers by group: components of pairs at the threshold."""
     sets = [shingles(t) for _, t, _, _ in rows]
     parent = list(range(len(rows)))
 
@@ -80,18 +81,62 @@ def test_near_duplicates(spark):
     for a, b in combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and len(sets[a] & sets[b]) >= setsketch.THRESHOLD * len(sets[a] | sets[b]):
             parent[find(b)] = find(a)
-    groups = Counter(find(i) for i in range(len(rows)))
-    grouped = [i for i in range(len(rows)) if groups[find(i)] > 1]
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def test_near_duplicates(spark):
+    """The partition into groups, their sizes and which row stays, against all pairs."""
+    rows = awkward() + [(1000 + i, t, s, lg) for i, t, s, lg in copies()]
+    groups = [g for g in brute_groups(rows) if len(g) > 1]
     docs = table(spark, rows)
     got = setsketch.near_duplicates(docs).collect()
-    assert Counter(r.doc_id for r in got) == Counter(rows[i][0] for i in grouped)
-    assert {r.doc_id for r in got if not r.keep} | {None, 5} >= {rows[i][0] for i in grouped} - {r.group_id for r in got}
+    by_id = lambda i: (i is not None, i or 0)
+    want = Counter()
+    for g in groups:
+        members = [rows[i][0] for i in g]
+        for m in members:
+            want[m, min(members, key=by_id), len(g)] += 1
+    assert len(groups) > 8 and Counter((r.doc_id, r.group_id, r.group_size) for r in got) == want
+    for g in groups:
+        least = min((rows[i][0] for i in g), key=by_id)
+        assert {r.doc_id for r in got if r.group_id == least and r.keep} == {least}
     left = setsketch.deduplicated(docs)
-    assert left.columns == docs.columns and left.count() == len(rows) - len(grouped) + len({find(i) for i in grouped})
+    assert left.columns == docs.columns and left.count() == len(rows) - sum(len(g) - 1 for g in groups)
     assert setsketch.deduplicated(left).count() == left.count()
     assert setsketch.near_duplicates(docs.limit(0)).count() == 0 and setsketch.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_chains_and_unrelated_texts_that_share_boilerplate(spark, monkeypatch):
+    """Texts half of which are alike, so that they share buckets but are no copies; chains whose ends aren't similar;
+    blocks and units of a few sets."""
+    monkeypatch.setattr(setsketch, "BLOCK", 7)
+    monkeypatch.setattr(setsketch, "UNIT", 2)
+    boiler = words(11, 60)
+    rows = [(i, " ".join(boiler + words(1000 + i, 70)), "s", "en") for i in range(150)]
+    chain = words(12, 80)
+    for k in range(12):
+        rows.append((500 + k, " ".join(chain), "s", "en"))
+        chain = chain[9:] + words(2000 + k, 9)
+    rows += [(600 + k, rows[3][1] + f" end{k}", "s", "en") for k in range(9)]
+    want = {frozenset(rows[i][0] for i in g) for g in brute_groups(rows) if len(g) > 1}
+    got: dict = {}
+    for r in setsketch.near_duplicates(table(spark, rows)).collect():
+        got.setdefault(r.group_id, set()).add(r.doc_id)
+        assert r.keep == (r.doc_id == r.group_id)
+    assert {frozenset(g) for g in got.values()} == want and sorted(map(len, want)) == [10, 12]
+
+
+def test_words_that_differ_only_in_a_thue_morse_pattern_hash_apart():
+    from sparkquads.llm.words import Words
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    found = Words.of(pa.array([a, a.translate(str.maketrans("ab", "ba")), "word", "word\0", "a" * 8 + "b" * 8, "b" * 8 + "a" * 8, a])).hash
+    assert len(set(found.tolist())) == 6 and found[0] == found[6]
+
+
 def test_thousands_of_copies_are_one_group(spark):
     base = words(3, 60)
     docs = table(spark, [(i, " ".join(base[:30] + [f"n{i % 40}"] + base[30:]), "s", "en") for i in range(2000)])
