@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -254,13 +256,34 @@ def test_hash_tree(spark):
     share = Counter(p[0] for p in before.values())
     assert all(abs(share[r] / 4000 - w / 10) < 0.04 for r, (w, _) in hashtree.TREE.items())
     weight, racks = hashtree.TREE["west"]
-    after = place(hashtree.TREE | {"west": (weight, racks | {"west-r0": (9.0, racks["west-r0"][1])})})
+    after = place(hashtree.TREE | {"west": (weight, racks | {"r0": (9.0, racks["r0"][1])})})
     moved = [(before[i], after[i]) for i in before if before[i] != after[i]]
-    assert moved and all(a[0] == b[0] == "west" and b[1] == "west-r0" for a, b in moved)
+    assert moved and all(a[0] == b[0] == "west" and b[1] == "r0" for a, b in moved)
     with pytest.raises(ValueError):
         hashtree.sharded(docs, {"r": (0.0, {})})
 
 
+def test_nodes_of_one_name_draw_apart(spark):
+    """Every path of a tree of repeated names gets its share; nulls and repeated rows have a place of their own."""
+    leaf = {"a": (1.0, {}), "b": (1.0, {})}
+    tree = {x: (1.0, {y: (1.0, leaf) for y in "ab"}) for x in "ab"}
+    docs = table(spark, [(i, None, "s", "en") for i in range(4000)] + [(None, None, None, None)] * 3)
+    got = hashtree.sharded(docs, tree).collect()
+    share = Counter((r.region, r.rack, r.shard) for r in got if r.doc_id is not None)
+    assert len(share) == 8 and all(abs(n - 500) < 120 for n in share.values())
+    assert len({(r.region, r.rack, r.shard) for r in got if r.doc_id is None}) == 1
+
+    def drawn(*names):
+        return -math.log((int(hashlib.md5("\x1f".join(names).encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+    for r in got:
+        key, path, below = str(r.doc_id) if r.doc_id is not None else "null", [], tree
+        while below:
+            path.append(min(below, key=lambda n: drawn(*path, n, key) / below[n][0]))
+            below = below[path[-1]][1]
+        assert (r.region, r.rack, r.shard) == tuple(path)
+
+
 def test_language(spark):
     tongue = {lg: [f"{lg}{random.Random(f'{lg}{i}').randrange(10**6)}" for i in range(80)] for lg in ("aa", "bb")}
     make = lambda lg, seed: " ".join(random.Random(seed).choices(tongue[lg], k=60))

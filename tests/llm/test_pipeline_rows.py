@@ -110,7 +110,7 @@ def sharding(rows):
     for r in rows:
         below, path, key = hashtree.TREE, [], "null" if r[0] is None else str(r[0])
         while below:
-            name = min(below, key=lambda n: -math.log((drawn(f"{n}/{key}") + 0.5) / 2**52) / below[n][0])
+            name = min(below, key=lambda n: -math.log((drawn("\x1f".join([*path, n, key])) + 0.5) / 2**52) / below[n][0])
             path.append(name)
             below = below[name][1]
         out.append((*r, *path))
