@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffer
 
-#: Bound of what is fitted: labelled documents per language, those of the least hashed ids, and bytes of dictionary.
-SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
+#: Bound of what is fitted: labelled documents per language, those of the least hashes, and bytes of dictionary. Of a
+#: document with more than its share of the bytes, pieces of SEGMENT bytes go in, evenly spaced from its begin to its end.
+SAMPLE_DOCS, DICTIONARY_BYTES, SEGMENT = 400, 64 << 10, 64
 #: Levels below 5 look up one place only for each hash, which makes sizes much less telling.
 PIECE, LEVEL = 8192, 5
 #: Least share of its size by which the runner-up must exceed the smallest.
@@ -27,28 +28,47 @@ MARGIN = 0.005
 
 
 def dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Of each language in the column lang, texts of up to sample_docs documents, of each an equal share of the bytes
-    at least. Null and empty languages and texts teach nothing."""
+    """Of each language in the column lang, pieces of up to sample_docs different documents, of each an equal share of
+    the bytes at least. Null and empty languages and texts teach nothing; rows equal in id and text count once, so at
+    most sample_docs texts of a language reach the driver."""
     known = docs.where((F.length(F.col("lang").cast("string")) > 0) & (F.length(F.col("text").cast("string")) > 0))
-    known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    ranked = known.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    known = known.select("lang", F.xxhash64("id", "text").alias("h"), "text")
+    ranked = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     last = {r.lang: r.last for r in ranked.where(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last")).toLocalIterator()}
     if not last:
         return {}
     sampled = reduce(Column.__or__, [(F.col("lang") == lang) & (F.col("h") <= h) for lang, h in last.items()])
-    texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in sorted(last)}
-    for r in known.where(sampled).toLocalIterator():  # sample_docs for each language
-        texts[r.lang].append((r.h, r.text))
-    return {lang: _filled([t.lower().encode() for _, t in sorted(rows)[:sample_docs]], size) for lang, rows in texts.items()}
+    texts: dict[str, list[str]] = {lang: [] for lang in sorted(last)}
+    for r in known.where(sampled).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toLocalIterator():
+        texts[r.lang].append(r.text)
+    return {lang: _filled([t.lower().encode() for t in rows], size) for lang, rows in texts.items()}
+
+
+def _spread(text: bytes, room: int) -> bytes:
+    """The text or, if it is longer than the room, pieces from all over it, none of which cuts a character."""
+    if len(text) <= room:
+        return text
+    n = max(1, room // SEGMENT)
+    size, out = room // n, []
+    for i in range(n):
+        a = len(text) * i // n
+        b = a + size
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(text[a:b])
+    return b"\n".join(out)
 
 
 def _filled(texts: list[bytes], size: int) -> bytes:
-    """Joins the texts, of long ones so much that all together fit."""
+    """Joins the texts by length, of long ones so much that all together fit, but for line ends."""
     room, out = size, []
-    for i, t in enumerate(sorted(texts, key=len)):
-        piece = t[: room // (len(texts) - i)]
-        room -= len(piece)
-        out.append(piece)
+    for i, t in enumerate(sorted(texts, key=lambda t: (len(t), t))):
+        share = room // (len(texts) - i)
+        out.append(_spread(t, share))
+        room -= min(len(t), share)
     return b"\n".join(out)
 
 

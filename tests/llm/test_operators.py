@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -238,16 +239,30 @@ def test_warc_round_trip(spark):
     pages = [(i, f"http://e/{i}?a b\n", f"<html>{' '.join(words(i, 50, 30))}</html>") for i in range(60)]
     pages += [(100, None, "no url"), (101, "http://e/", None), (102, "http://e/", ""), (None, "http://e/é", "é😀\r\n\r\n"), (0, *pages[0][1:]), (103, "http://long/", "x" * 300_000)]
     df = spark.createDataFrame([(*p, "f", 1) for p in pages], "page_id long, url string, html string, file string, offset int").repartition(3)
-    index = warc.archived(df, file_bytes=5_000)
+    index = warc.archived(df, file_bytes=5_000, date="2024-05-06T07:08:09Z")
     assert index.count() == len(pages) and index.select("file").distinct().count() > 5
     assert Counter((r.page_id, r.url, r.html) for r in warc.restored(index).collect()) == Counter(pages)
     assert index.select("page_id", "digest").exceptAll(warc.restored(index).select("page_id", "digest")).count() == 0
-    some = index.where("file is not null").first().file
-    data = open(some.removeprefix("file:").replace("//", "/", 1), "rb").read()
-    assert next(warc.unpacked(data)) == warc.info()
+    ids = []
+    for r in index.where("file is not null").select("file").distinct().collect():
+        data = open(r.file.removeprefix("file:").replace("//", "/", 1), "rb").read()
+        records = list(warc.unpacked(data))
+        assert records[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and data[:4] == b"\x5d\x2a\x4d\x18"
+        ids += [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for x in records]
+        assert all(re.search(rb"WARC-Date: 2024-05-06T07:08:09Z\r\n", x) for x in records)
+    assert len(ids) == len(set(ids)) > len(pages)
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_warc_files_that_no_index_names_go(spark, tmp_path):
+    folder = tmp_path / "archive"
+    stray = folder / "files" / "0a" / "left-over.warc.zst"
+    stray.parent.mkdir(parents=True)
+    stray.write_bytes(b"of a lost attempt")
+    index = warc.archived(spark.createDataFrame([(1, "http://e/", "<p>one</p>")], "page_id long, url string, html string"), f"file://{folder}")
+    assert warc.restored(index).first().html == "<p>one</p>" and not stray.exists() and len(list(folder.glob("files/*/*.zst"))) == 1
+
+
 def test_hash_tree(spark):
     docs = table(spark, awkward() + [(i, "t", "s", "en") for i in range(1000, 5000)])
     place = lambda tree: {r.doc_id: (r.region, r.rack, r.shard) for r in hashtree.sharded(docs, tree).where("doc_id >= 1000").collect()}
