@@ -8,6 +8,7 @@ end there, and their bytes are compared. The search runs over many lanes of a bu
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import file_system, fresh, from_ids, ids, slices, text_buffer
 
-#: Words in a test string; items with fewer are one test string, those with fewer than MIN_WORDS are none.
-NGRAM, MIN_WORDS = 13, 5
-#: Bytes of test strings in one broadcast; beyond it, shards of this size lie in the shared folder and are loaded in turn.
-SHARD_BYTES = 64 << 20
+#: Words in a test string; an item with fewer is one test string.
+NGRAM = 13
+#: A document goes if it holds a test string of so many words; a word or two of a short item don't make it a copy.
+LEAST = 5
+#: Bytes of test strings in one broadcast; beyond it, shards of this size lie in the shared folder. A task then gathers
+#: HELD_BYTES of text before it loads each shard in turn.
+SHARD_BYTES, HELD_BYTES = 64 << 20, 64 << 20
 _LANE = 2048
 _END = 255  # no byte of UTF-8
 _PLAIN = np.full(256, 32, np.uint8)
@@ -43,7 +47,7 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.flatnonzero(buf == _END)
 
 
-def test_strings(text: str | None, n: int = NGRAM, least: int = MIN_WORDS) -> list[bytes]:
+def test_strings(text: str | None, n: int = NGRAM, least: int = 1) -> list[bytes]:
     buf, ends = normalised(pa.array([text]))
     words = bytes(buf[: ends[0]]).split()
     if len(words) < least:
@@ -126,13 +130,13 @@ class TestStrings:
 
     __test__ = False
 
-    def __init__(self, benchmark: DataFrame, n: int = NGRAM, shard_bytes: int = SHARD_BYTES):
+    def __init__(self, benchmark: DataFrame, n: int = NGRAM, shard_bytes: int = SHARD_BYTES, least: int = 1):
         spark, self.broadcast, self.files = benchmark.sparkSession, None, []
         patterns: dict[bytes, list[int]] = {}
         size, folder = 0, None
         rows = benchmark.select(ids("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
         for item, text in rows.toLocalIterator():
-            for p in test_strings(text, n):
+            for p in test_strings(text, n, least):
                 items = patterns.setdefault(p, [])
                 size += len(p) * (not items)
                 if item not in items:
@@ -167,77 +171,93 @@ class TestStrings:
         for uri in self.files:
             yield _loaded(uri)
 
-    def search(self, texts: pa.Array) -> list[tuple[int, int, int]]:
-        """(text, item, number of the word at which it starts) of each occurrence."""
-        buf, ends = normalised(texts)
-        blanks = None
-        out = []
+    def search(self, parts: list[pa.Array]) -> list[list[tuple[int, int, int]]]:
+        """Of each part, (text, item, number of the word at which it starts) of each occurrence. Every shard is loaded
+        once for all the parts."""
+        plain = [normalised(p) for p in parts]
+        blanks: list[np.ndarray | None] = [None] * len(parts)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in parts]
         for matchers in self.shards():
-            for matcher in matchers:
-                hits = matcher.find(buf)
-                if not hits:
-                    continue
-                if blanks is None:
-                    blanks = np.flatnonzero(buf == 32)
-                begins = np.array([h[0] for h in hits])
-                doc = np.searchsorted(ends, begins)
-                before = np.searchsorted(blanks, begins) - np.searchsorted(blanks, np.where(doc > 0, ends[doc - 1] + 1, 0))
-                for d, w, (_, p) in zip(doc.tolist(), before.tolist(), hits):
-                    out += [(d, item, w) for item in matcher.patterns[p]]
+            for i, (buf, ends) in enumerate(plain):
+                for matcher in matchers:
+                    hits = matcher.find(buf)
+                    if not hits:
+                        continue
+                    if blanks[i] is None:
+                        blanks[i] = np.flatnonzero(buf == 32)
+                    begins = np.array([h[0] for h in hits])
+                    doc = np.searchsorted(ends, begins)
+                    before = np.searchsorted(blanks[i], begins) - np.searchsorted(blanks[i], np.where(doc > 0, ends[doc - 1] + 1, 0))
+                    for d, w, (_, p) in zip(doc.tolist(), before.tolist(), hits):
+                        out[i] += [(d, item, w) for item in matcher.patterns[p]]
         return out
 
+    def gathered(self, parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int]]]]:
+        """The parts with what is found in them: one by one with a broadcast, else by HELD_BYTES."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for part in parts:
+            held.append(part)
+            size += part.column(column).nbytes
+            if not self.files or size > HELD_BYTES:
+                yield from zip(held, self.search([p.column(column) for p in held]))
+                held, size = [], 0
+        yield from zip(held, self.search([p.column(column) for p in held]))
+
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, hits, first_word) for each document row and benchmark item that share a test string: in how
     many places, and the number of the first such word, counted from 0 in the normalised text.
 
-    A null or empty text and a null item have no test strings. Null ids stay null. A repeated document row repeats its
+    Test strings are the item's runs of n words. An item of fewer words, down to one, is a test string as a whole. A null or empty text and a null item have no test strings. Null ids stay null. A repeated document row repeats its
     result, a repeated item row counts once. Other columns are not read. An empty table on either side gives no rows.
     """
     tests = TestStrings(benchmark, n, shard_bytes)
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                seen: dict[tuple[int, int], list[int]] = {}
-                for d, item, w in tests.search(part.column(1)):
-                    x = seen.setdefault((d, item), [0, w])
-                    x[0] += 1
-                    x[1] = min(x[1], w)
-                doc = np.asarray(part.column(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, pa.int64()) for v in ([int(doc[d]) for d, _ in seen], [i for _, i in seen], [x[0] for x in seen.values()], [x[1] for x in seen.values()])],
-                    ["d", "i", "hits", "first_word"],
-                )
+        for part, hits in tests.gathered((part for batch in batches for part in slices(batch)), 1):
+            seen: dict[tuple[int, int], list[int]] = {}
+            for d, item, w in hits:
+                x = seen.setdefault((d, item), [0, w])
+                x[0] += 1
+                x[1] = min(x[1], w)
+            doc = np.asarray(part.column(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, pa.int64()) for v in ([int(doc[d]) for d, _ in seen], [i for _, i in seen], [x[0] for x in seen.values()], [x[1] for x in seen.values()])],
+                ["d", "i", "hits", "first_word"],
+            )
 
     found = docs.select(ids("doc_id").alias("d"), F.col("text").cast("string").alias("text")).mapInArrow(run, "d long, i long, hits long, first_word long")
     return found.select(from_ids("d").alias("doc_id"), from_ids("i").alias("item_id"), "hits", "first_word")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """The rows of docs without those that hold a test string, in all their columns. A null text holds none."""
-    tests = TestStrings(benchmark, n)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
+    """The rows of docs without those that hold a test string, in all their columns.
+
+    Test strings are those of occurrences(), but items of fewer than `least` words have none here: a document is no
+    copy of an item because it has its one word; least=1 takes them too. A null or empty text holds none, repeated rows
+    go or stay together, null ids count like others, and an empty benchmark or table takes nothing away.
+    """
+    tests = TestStrings(benchmark, n, least=least)
 
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
         at = 0
-        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
-            out[[at + d for d, _, _ in tests.search(part.column(0))]] = True
+        for part, hits in tests.gathered(slices(pa.RecordBatch.from_arrays([texts], ["text"])), 0):
+            out[[at + d for d, _, _ in hits]] = True
             at += part.num_rows
         return pa.array(out)
 
     return docs.where(~holds(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-
-
 ORACLE = f"""
 with norm as (
   select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' ') w from documents),
 items as (
   select distinct item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' ') w from benchmark),
-sized as (select item_id, w, least({NGRAM}, len(w)) n from items where len(w) >= {MIN_WORDS}),
+sized as (select item_id, w, least({NGRAM}, len(w)) n from items where w <> ['']),
 grams as (
   select distinct item_id, n, array_to_string(w[i + 1:i + n], ' ') g from (select *, unnest(range(0, len(w) - n + 1)) i from sized)),
 places as (
