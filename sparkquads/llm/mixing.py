@@ -4,8 +4,9 @@ A source's expected copies per document bring its characters to its share of the
 prefix-summed over the source's documents, a random offset in [0, 1) is added, and a document is emitted once for each
 integer that its step of the sum crosses. Sums are integers, in millionths of a copy, so they are exact in any order.
 
-The prefix sum is distributed: documents fall into blocks of consecutive ids (in doubles, which keep the order of any ids), blocks are summed and prefix-summed, and
-within a block a window adds the rest. So no task holds a whole source, however large it is.
+The prefix sum is distributed: documents are range-partitioned by source and id and numbered by their partition's place
+and their place in it, which gives each its place in its source without a window. Ranges are cut where the documents
+are, so neither a large source nor ids far apart from the others bring much to one task.
 """
 
 from __future__ import annotations
@@ -23,9 +24,7 @@ TEMPERATURE = 0.5
 #: Copies of all characters together, in units of the input.
 EPOCHS = 1.0
 SEED = "mix-1"
-#: Documents in a block, about.
-BLOCK = 50_000
-#: Rows of a table of sources or blocks up to which it is broadcast, so that documents move once only, to their blocks.
+#: Rows of a table of sources, or of sources by partition, up to which it is broadcast and not joined by a shuffle.
 MOST_BROADCAST = 100_000
 
 
@@ -38,21 +37,22 @@ def _offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(source, F.lit("null")))), 1, 13), 16, 10).cast("long") % ONE
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """The rows of docs as often as they are drawn, with a column copy from 1 on, which replaces any of that name.
 
     weights: target share by source, of any sum; a source that is not named, or null, then gets none. Without weights a
     source, the null one too, weighs its characters to the power TEMPERATURE. A document counts n_chars characters or,
-    if that is null or there is no such column, its text's length, and 0 if both are null. A source without characters
+    if that is null or there is no such column, its text's length, and 0 if both are null. The text too may be absent. A source without characters
     has no expected copies. Order within a source is by id, a null one first; rows of one id are ordered by their texts'
     hashes and repeated rows are drawn each for itself. An empty table stays empty.
     """
     names = {c.lower() for c in docs.columns}
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "copy"])
-    length = F.length(F.col("text").cast("string"))
+    text = F.col("text").cast("string") if "text" in names else F.lit(None).cast("string")
+    length = F.length(text)
     chars = F.coalesce(*([F.col("n_chars").cast("long")] if "n_chars" in names else []), length.cast("long"), F.lit(0))
-    rows = kept.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), chars.alias("c"))
-    stats = rows.groupBy("s").agg(F.sum("c").alias("size"), F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    rows = kept.select(F.struct("*").alias("row"), F.xxhash64(text).alias("t"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), chars.alias("c"))
+    stats = rows.groupBy("s").agg(F.sum("c").alias("size"))
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(TEMPERATURE))
     elif weights:
@@ -65,16 +65,18 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     stats = stats.crossJoin(F.broadcast(total)).select(  # one row
         F.col("s").alias("ss"),
         F.coalesce(F.round(F.lit(float(ONE) * epochs) * F.try_divide("w", "all_w") * F.try_divide(F.col("all_size").cast("double"), F.col("size").cast("double"))), F.lit(0.0)).cast("long").alias("e"),
-        F.col("low"),
-        F.greatest(F.lit(1.0), (F.col("high").cast("double") - F.col("low").cast("double") + 1) / F.ceil(F.col("n") / F.lit(block))).alias("width"),
     )
-    rows = rows.join(_side(stats, "sources"), F.col("s").eqNullSafe(F.col("ss"))).withColumn("b", F.coalesce(F.floor((F.col("d").cast("double") - F.col("low").cast("double")) / F.col("width")), F.lit(-1)))
-    blocks = rows.groupBy("s", "b").agg(F.sum("e").alias("sum"))
-    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("s").alias("bs"), F.col("b").alias("bb"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    rows = rows.where("e > 0").join(_side(blocks, "blocks"), F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb")))
-    inside = Window.partitionBy("s", "b").orderBy("d", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.col("start") + F.sum("e").over(inside) + _offset(F.col("s"), seed)
+    # by source, id and text; equal rows, of which there may be very many, by where they were read
+    order = ["s", "d", "t", "at"]
+    rows = rows.select("row", "s", "d", "t", F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.select("row", "s", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "ordered")
+    parts = rows.groupBy("s", "part").agg(F.count("*").alias("n"), F.min("place").alias("low"))
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low"))
+    parts = parts.join(_side(stats, "sources"), F.col("s").eqNullSafe(F.col("ss"))).where("e > 0").select("ss", "part", "start", "e")
+    rows = rows.join(_side(parts.withColumnRenamed("part", "pp"), "parts"), F.col("s").eqNullSafe(F.col("ss")) & (F.col("part") == F.col("pp")))
+    reach = F.col("e") * (F.col("start") + F.col("place") + 1) + _offset(F.col("s"), seed)
     rows = rows.select("row", "e", reach.alias("reach"))
     copies = (F.expr(f"reach div {ONE}") - F.expr(f"(reach - e) div {ONE}")).cast("int")
     return rows.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*", "copy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, hashtree, hostrules, langid, lines, mixing, phrases, repeats, setsketch, suffixes, warc
 
@@ -46,7 +47,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy")
+    # what the draws need; texts would only travel along
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("n_chars", F.length("text")).alias("n_chars"))
+    return mixing.mixed(docs).select("doc_id", "source", "copy")
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,20 +211,22 @@ def test_merging_runs():
 
 def test_decontamination(spark):
     item, short = words(50, 30), words(51, 8)
-    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, " ".join(short)), (3, "too few words"), (None, None), (4, ""), (None, " ".join(words(52, 6)))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, " ".join(short)), (3, "too few words"), (None, None), (4, ""), (None, " ".join(words(52, 6))), (5, "solo!")], "item_id long, text string")
     rows = awkward() + [
         (100, "Start, " + ", ".join(x.upper() for x in item[5:18]) + "! End", "a", "en"),
         (101, " ".join(item[5:17]), "a", "en"),
         (102, "x" + " ".join(short), "a", "en"),
         (103, " ".join(words(9, 40) + short + short), "a", "en"),
         (104, " ".join(words(52, 6)), "a", "en"),
+        (105, "too few words, solos, and SOLO", "a", "en"),
     ]
     docs = table(spark, rows)
     got = {(r.doc_id, r.item_id, r.hits) for r in decontaminate.occurrences(docs, bench).collect()}
-    assert got == {(100, 1, 1), (103, 2, 2), (104, None, 1)}
+    assert got == {(100, 1, 1), (103, 2, 2), (104, None, 1), (105, 3, 1), (105, 5, 1)}
     assert got == {(r.doc_id, r.item_id, r.hits) for r in decontaminate.occurrences(docs, bench, shard_bytes=100).collect()}
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert decontaminate.decontaminated(docs, bench, least=1).count() == len(rows) - 4
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows) and decontaminate.occurrences(docs.limit(0), bench).count() == 0
 
 
@@ -317,16 +319,34 @@ def test_language(spark):
 def test_mixing(spark):
     rows = awkward() + [(1000 + i, "x" * (1 + i % 7), f"s{i % 3 * i % 2}", "en") for i in range(900)]
     docs = table(spark, rows)
-    got = mixing.mixed(docs, {"s0": 1.0, "s1": 3.0}, block=50).collect()
+    got = mixing.mixed(docs, {"s0": 1.0, "s1": 3.0}).collect()
     chars = Counter()
     for r in got:
         chars[r.source] += len(r.text)
     assert set(chars) == {"s0", "s1"} and abs(chars["s1"] / (3 * chars["s0"]) - 1) < 0.1
-    again = mixing.mixed(docs.repartition(7), {"s0": 1.0, "s1": 3.0}, block=10_000).collect()
+    again = mixing.mixed(docs.repartition(7), {"s0": 1.0, "s1": 3.0}).collect()
     assert Counter((r.doc_id, r.copy) for r in got) == Counter((r.doc_id, r.copy) for r in again)
     assert mixing.mixed(docs).columns.count("copy") == 1 and mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs, {}).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_ids_far_apart(spark):
+    """By brute force: the order is by id, null first, and by text; ids are clustered, with one far off, and most rows
+    are the same."""
+    rows = [(7, "x" * 10, "a", "en")] * 500 + [(i, "y" * (1 + i % 5), "a", "en") for i in range(1000, 1200)] + [(2**60, "z", "a", "en"), (None, "null id", "a", "en"), (-5, None, "b", "en"), (6, "", None, "en"), (8, "of no source", None, "en")]
+    random.Random(3).shuffle(rows)
+    docs = table(spark, rows)
+    got = Counter((r.doc_id, r.source, r.copy) for r in mixing.mixed(docs.repartition(9), {"a": 1.0}, epochs=0.37).collect())
+    chars = sum(len(t or "") for _, t, _, _ in rows)
+    e = round(mixing.ONE * 0.37 * chars / sum(len(t) for _, t, s, _ in rows if s == "a"))
+    want, reach = Counter(), mixing.offset("a")
+    for i, _, s, _ in sorted((r for r in rows if r[2] == "a"), key=lambda r: (r[0] is not None, r[0] or 0)):
+        want.update((i, s, c + 1) for c in range((reach + e) // mixing.ONE - reach // mixing.ONE))
+        reach += e
+    assert got == want and 150 < got[7, "a", 1] < 260
+    free = mixing.mixed(docs).collect()
+    assert {r.source for r in free} == {"a", None} and mixing.mixed(docs, epochs=0.0).count() == 0
+
+
 def test_host_rules(spark):
     good = lambda i: " ".join(words(i, 40)) + "."
     rows = awkward() + [(1000 + i, good(i), "clean", "en") for i in range(50)] + [(2000 + i, "$$$ ### %%%", "spam", "en") for i in range(49)] + [(3000, good(1), "spam", "en")]

@@ -113,7 +113,7 @@ def decontamination(rows, items):
     for text in items:
         w = [x for x in plain(text or "") if x]
         n = min(decontaminate.NGRAM, len(w))
-        if len(w) >= decontaminate.MIN_WORDS:
+        if len(w) >= decontaminate.LEAST:
             strings |= {" " + " ".join(w[i : i + n]) + " " for i in range(len(w) - n + 1)}
     texts = [" " + " ".join(x for x in plain(r[1]) if x) + " " for r in rows]
     return [r for r, t in zip(rows, texts) if not any(s in t for s in strings)]
