@@ -351,8 +351,55 @@ def test_host_rules(spark):
     good = lambda i: " ".join(words(i, 40)) + "."
     rows = awkward() + [(1000 + i, good(i), "clean", "en") for i in range(50)] + [(2000 + i, "$$$ ### %%%", "spam", "en") for i in range(49)] + [(3000, good(1), "spam", "en")]
     rows += [(4000 + i, good(i) if i % 2 else "", "mixed", "en") for i in range(40)]
+    rows = [(i, t, f"https://www.{src.upper()}.example:8080/a?b" if src == "spam" else src, lg) for i, t, src, lg in rows]
     docs = table(spark, rows)
     found = {r.doc_id: r for r in hostrules.verdicts(docs).where("doc_id between 1000 and 5000").collect()}
+    assert {found[i].host for i in (1000, 2000, 4000)} == {"clean", "spam.example", "mixed"}
     assert all(found[1000 + i].keep for i in range(50)) and not found[3000].keep and found[3000].verdict == "blocked"
     assert all(found[4000 + i].keep == bool(i % 2) for i in range(40))
     assert hostrules.verdicts(docs).count() == len(rows) and hostrules.verdicts(docs.limit(0)).count() == 0
+
+
+def test_hosts_of_urls(spark):
+    urls = {"HTTP://u:p@WWW.Example.com:80/x": "example.com", "https://a.b.c": "a.b.c", "https://e.org?q=//x": "e.org", "src7": "src7", "": "", "www.plain.org/x": "www.plain.org/x", None: None}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r.h for r in df.select(hostrules.host_of(df.url).alias("h")).collect()] == list(urls.values())
+
+
+def test_each_rule_fails_what_it_names(spark):
+    good = " ".join(words(1, 40))
+    bad = {
+        "few_words": "one",
+        "symbols": "a b $$ c d",
+        "capitals": " ".join(["ABCDEF"] * 9 + ["other"]),
+        "no_letters": " ".join(words(2, 30) + ["12"] * 10),
+        "word_length": " ".join(f"a{'b' * 16}{i}" for i in range(25)),
+        "long_words": "a " + "b" * 100,
+        "same_words": " ".join(["all", "the", "same"] * 10),
+        "same_lines": "one line\n" * 7 + "other line",
+        "bullets": "\n".join(f"- point one two three {w}" for w in words(3, 10)),
+        "ellipses": "\n".join(f"read one two three {w} ..." for w in words(4, 10)),
+        "filler": good + " lorem ipsum dolor",
+    }
+    assert list(bad) == list(hostrules.rules())
+    df = spark.createDataFrame([(k, t) for k, t in {**bad, "good": good, "null": None}.items()], "k string, text string")
+    rows = df.select("k", *(c.alias(k) for k, c in hostrules.counts(df.text).items())).select("k", *(c.alias(k + "_") for k, c in hostrules.rules().items())).collect()
+    failed = {r.k: {x[:-1] for x, v in r.asDict().items() if x != "k" and v} for r in rows}
+    assert all(k in failed[k] for k in bad) and not failed["good"] and failed["null"] == {"few_words"}
+    assert all(failed[k] == {k} for k in bad if k not in ("long_words",)), failed
+
+
+def test_prior_leaves_chance_out(spark):
+    """Hosts that all fail at one rate differ by chance alone, so the prior counts much; hosts that differ, little."""
+    r = random.Random(4)
+
+    def fitted(rates):
+        rows = [(n := r.randrange(1, 30), sum(r.random() < p for _ in range(n))) for p in rates]
+        df = spark.createDataFrame(rows, "host_docs long, host_failed long").agg(*hostrules._moments())
+        return df.select(*hostrules._prior()).first()
+
+    a, b = fitted([0.3] * 2000)
+    assert a + b > 60 and abs(a / (a + b) - 0.3) < 0.03
+    a, b = fitted([r.betavariate(2, 3) for _ in range(3000)])
+    assert abs(a - 2) < 0.4 and abs(b - 3) < 0.6
+    assert tuple(fitted([0.0] * 5)) == (0.0, hostrules.PRIOR)
