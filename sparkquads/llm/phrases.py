@@ -3,7 +3,8 @@
 Phrases that may recur are confirmed by their words, not their hashes, and compiled into Aho-Corasick automata, one for
 each shard of the phrases. Texts around the phrases of a shard are streamed through its automaton, which locates every
 occurrence. A shard takes a bounded number of phrases and a text goes only to the shards of phrases that it can hold
-(the sampled positions depend on the phrase alone), so the work grows with the input and not with its square.
+(the sampled positions depend on the phrase alone), so the work grows with the input and not with its square. Phrases
+that very many documents hold go another way, see repeats.candidates.
 
 Inside a shard a word is one character: the words of its phrases are numbered, all others share one number. A phrase
 then takes PHRASE nodes, and the numbers stay below the number of code points as a shard's phrases are few enough.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, partitions, pieces_of, slices
-from .repeats import BACK, LENGTH, PHRASE, SPANS, around, candidates, combined, hash_windows, intervals, merged, repeated
+from .repeats import BACK, LENGTH, MOST_TASKS, PHRASE, SPANS, around, candidates, combined, hash_windows, intervals, merged, repeated
 from .words import U, Words
 
 #: Occurrences of phrases per shard, about; the distinct phrases are at most half as many.
@@ -57,7 +58,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     no spans. Rows of one doc_id, repeated or not, are one document, so they alone repeat nothing; a null doc_id is one
     document too and stays null. Other columns are not read.
     """
-    texts, count = candidates(docs)
+    texts, count, hot = candidates(docs)
     shards = max(partitions(docs.sparkSession) if count > SHARD else 1, parts_of(count, SHARD))
 
     def segments(batches):
@@ -146,5 +147,5 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return intervals(doc, offset + place, flags)
 
     sent = texts.mapInArrow(segments, "shard long, texts binary")
-    found = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(search, SPANS)
-    return merged(found)
+    found = sent.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(search, SPANS)
+    return merged(found.unionByName(hot))

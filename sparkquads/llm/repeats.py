@@ -18,30 +18,61 @@ from .words import U, Words, anchors, mix
 LENGTH, PHRASE, SMALL = 50, 27, 3
 #: Words before a sampled phrase at which a passage that holds it may start.
 BACK = LENGTH - PHRASE
+#: Documents that may hold a phrase for its places to be compared in one task.
+HOT = 20_000
+#: Partitions of an exchange at most; shards and buckets grow in number beyond it, and a task takes several in turn.
+MOST_TASKS = 16_384
 SPANS = "d long, start long, stop long"
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, int]:
+def candidates(docs: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     """(d, text, phrases) of each document with phrases that occur in other documents too, phrases being their sorted
-    hashes, and how many (document, phrase) there are."""
-    slim = docs.select(ids("doc_id").alias("d"), F.col("text").cast("string").alias("text"))
+    hashes; how many (document, phrase) there are; and the spans (d, start, stop) around phrases that more than HOT
+    documents hold, which are in neither: they are found without gathering the places of a phrase anywhere."""
+    slim = docs.select(ids("doc_id").alias("d"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
 
     def sample(batches):
         for batch in batches:
             for part in slices(batch):
                 words = Words.of(part.column(1))
                 at, h = anchors(words, PHRASE, SMALL)
-                doc = np.asarray(part.column(0))[words.doc[at]]
-                pairs = np.unique(np.rec.fromarrays([h.view(np.int64), doc], names="h,d"))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.h), pa.array(pairs.d)], ["h", "d"])
+                row = words.doc[at]
+                pairs = np.unique(np.rec.fromarrays([h.view(np.int64), row], names="h,r"))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.h), *(part.column(c).take(pa.array(pairs.r)) for c in (0, 2))], ["h", "d", "t"])
 
-    found = written(slim.mapInArrow(sample, "h long, d long"), "phrases")
-    shared = found.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h")
+    found = written(slim.mapInArrow(sample, "h long, d long, t long"), "phrases")
+    shared = found.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("h", (F.col("n") > HOT).alias("hot"))
     # the phrases that recur, against all places: AQE splits a phrase that very many documents hold
-    places = written(found.join(shared, "h", "left_semi"), "places")
-    count = places.count()
-    lists = places.groupBy("d").agg(F.array_sort(F.collect_set("h")).alias("phrases"))
-    return slim.where("text is not null").join(lists, "d"), count
+    places = written(found.join(shared, "h"), "places")
+    counted = {r.hot: r.n for r in places.groupBy("hot").agg(F.count("*").alias("n")).collect()}  # two rows
+
+    def having(hot: bool) -> DataFrame:
+        # by text as well as id, as very many documents may have no id
+        lists = places.where(F.col("hot") == hot).groupBy("d", "t").agg(F.array_sort(F.collect_set("h")).alias("phrases"))
+        return slim.join(lists, ["d", "t"]).select("d", "text", "phrases")
+
+    return having(False), counted.get(False, 0), _hot_spans(having(True))
+
+
+def _hot_spans(texts: DataFrame) -> DataFrame:
+    """Spans of passages that hold one of the phrases of (d, text, phrases), by grouping the hashes of all of these
+    passages, two of 64 bits, with partial aggregation."""
+
+    def passages(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words, at, _ = around(part)
+                start = np.unique((at[:, None] - np.arange(BACK + 1)[None, :]).ravel())
+                start = start[(start >= 0) & (start <= len(words) - LENGTH)]
+                start = start[words.whole(LENGTH)[start]]
+                row = words.doc[start]
+                a = words.grams(LENGTH)[start]
+                b = combined(words.grams(PHRASE)[start], words.grams(BACK)[start + PHRASE])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(start - words.first[row])], ["a", "b", "d", "start"])
+
+    rows = written(texts.mapInArrow(passages, "a long, b long, d long, start long"), "hot")
+    again = rows.groupBy("a", "b").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("a", "b")
+    return rows.join(again, ["a", "b"], "left_semi").select("d", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def around(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -90,7 +121,9 @@ def intervals(doc: np.ndarray, at: np.ndarray, flags: np.ndarray) -> pa.RecordBa
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word): spans that touch or overlap become one."""
+    """(doc_id, start_word, end_word): spans that touch or overlap become one. Of those that start together one goes on,
+    so a document, or all those without an id, brings no more rows than a text has words."""
+    spans = spans.groupBy("d", "start").agg(F.max("stop").alias("stop"))
     w = Window.partitionBy("d").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))

@@ -19,13 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, partitions, pieces_of, slices
-from .repeats import BACK, LENGTH, PHRASE, SMALL, SPANS, around, candidates, combined, intervals, merged, repeated
+from .repeats import BACK, LENGTH, MOST_TASKS, PHRASE, SMALL, SPANS, around, candidates, combined, intervals, merged, repeated
 from .words import U, Words, anchors
 
 #: Suffixes per bucket, about; buckets grow in number, not in size.
 BUCKET = 40_000
-#: Splitters come from about this many sampled suffixes per bucket; the sample only balances the buckets.
-PER_BUCKET = 8
+#: Ranges at most, whose splitters every task holds. A range is divided further by the phrases' hashes: suffixes with a
+#: phrase in common, which alone are compared, stay together and in order.
+MOST_RANGES = 4096
+#: Splitters come from about this many sampled suffixes per range; the sample only balances the ranges.
+PER_RANGE = 8
 #: Bytes of suffixes in a sorted run.
 RUN_BYTES = 12 << 20
 
@@ -128,11 +131,11 @@ def _suffix(data: bytes, words: Words, at: int, stop: int) -> bytes:
     return b" ".join(data[words.begin[at] : words.end[stop - 1]].split()) + b" "
 
 
-def splitters(docs: DataFrame, buckets: int) -> list[bytes]:
+def splitters(docs: DataFrame, ranges: int) -> list[bytes]:
     """Phrases that cut the sorted phrases of a sample of documents into equal parts."""
-    if buckets < 2:
+    if ranges < 2:
         return []
-    wanted = buckets * PER_BUCKET
+    wanted = ranges * PER_RANGE
 
     def phrases(batches):
         for batch in batches:
@@ -147,7 +150,7 @@ def splitters(docs: DataFrame, buckets: int) -> list[bytes]:
     share = min(1.0, wanted * 4 / max(1, n))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = sorted(r.p for r in some.mapInArrow(phrases, "p binary").distinct().orderBy(F.xxhash64("p")).limit(wanted).toLocalIterator())
-    return sorted({bytes(found[len(found) * i // buckets]) for i in range(1, buckets)}) if found else []
+    return sorted({bytes(found[len(found) * i // ranges]) for i in range(1, ranges)}) if found else []
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -158,19 +161,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     no spans. Rows of one doc_id, repeated or not, are one document, so they alone repeat nothing; a null doc_id is one
     document too and stays null. Other columns are not read.
     """
-    texts, count = candidates(docs)
+    texts, count, hot = candidates(docs)
     buckets = max(partitions(docs.sparkSession) if count > BUCKET else 1, parts_of(count, BUCKET))
-    cuts = docs.sparkSession.sparkContext.broadcast(splitters(docs, buckets))
+    ranges = min(buckets, MOST_RANGES)
+    classes = -(-buckets // ranges)
+    # of bounded size: MOST_RANGES phrases
+    cuts = docs.sparkSession.sparkContext.broadcast(splitters(docs, ranges))
 
     def runs(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
-        held: list[tuple[bytes, int, int, bytes]] = []
+        held: list[tuple[bytes, int, int, int, bytes, int]] = []
         size = 0
 
         def flush():
             held.sort()
             pieces: dict[int, list] = {}
-            at = [bisect_right(cuts.value, h[0][: h[3]]) for h in held]
+            at = [bisect_right(cuts.value, h[0][: h[3]]) * classes + h[5] for h in held]
             for b, h in zip(at, held):
                 pieces.setdefault(b, []).append(h)
             out = []
@@ -182,17 +188,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                words, at, _ = around(part)
+                words, at, h = around(part)
                 data, docno = words.buf.tobytes(), words.doc[at]
                 doc = np.asarray(part.column(0))[docno]
                 first, stop = words.first[docno], words.first[docno + 1]
-                for i, a, d, lo, hi in zip(range(len(at)), at.tolist(), doc.tolist(), first.tolist(), stop.tolist()):
+                for a, d, lo, hi, c in zip(at.tolist(), doc.tolist(), first.tolist(), stop.tolist(), (h % U(classes)).tolist()):
                     s = _suffix(data, words, a, min(hi, a + LENGTH))
                     back = _suffix(data, words, max(lo, a - BACK), a) if a > lo else b""
                     key = int(words.end[a + PHRASE - 1] - words.begin[a]) + 1
                     if s.count(b" ", 0, key) != PHRASE:  # several blanks between words
                         key = len(_suffix(data, words, a, a + PHRASE))
-                    held.append((s, d, a - lo, key, back))
+                    held.append((s, d, a - lo, key, back, c))
                     size += len(s) + len(back)
                 if size > RUN_BYTES:
                     yield flush()
@@ -242,5 +248,5 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return intervals(doc, at, flags)
 
     sent = texts.mapInArrow(runs, "bucket long, run binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(bucket, SPANS)
-    return merged(found)
+    found = sent.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(bucket, SPANS)
+    return merged(found.unionByName(hot))

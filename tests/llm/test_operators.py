@@ -12,7 +12,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from sparkquads.llm import decontaminate, hashtree, hostrules, langid, lines, mixing, phrases, setsketch, suffixes, warc
+from sparkquads.llm import decontaminate, hashtree, hostrules, langid, lines, mixing, phrases, repeats, setsketch, suffixes, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, d long, h long, s string, language int, copy string, shard string, bands string"
 
@@ -178,8 +178,14 @@ def test_estimates_are_close():
         assert (np.maximum(regs[0], regs[1]) == both[0]).all()
 
 
-@pytest.mark.parametrize("module", [phrases, suffixes])
-def test_repeated_passages(spark, module):
+@pytest.mark.parametrize("module, small", [(phrases, False), (suffixes, False), (phrases, True), (suffixes, True)])
+def test_repeated_passages(spark, module, small, monkeypatch):
+    """Also with tiny shards, ranges and tasks, and with phrases that more than three documents hold going apart."""
+    if small:
+        monkeypatch.setattr(repeats, "HOT", 3)
+        for name, value in {"SHARD": 5, "BUCKET": 5, "MOST_RANGES": 3, "MOST_TASKS": 4, "MOST_PHRASES": 2}.items():
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
     rows = awkward() + [(1000 + i, t, s, lg) for i, t, s, lg in copies()]
     where: dict[tuple, set] = {}
     for i, t, _, _ in rows:
