@@ -50,8 +50,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.output:
             rdf_text.write(store.quads(), a.output, a.format)
         else:
-            for r in store.quads().select(rdf_text.line((a.format or "nq").lower()).alias("v")).toLocalIterator():
-                print(r.v)
+            for text in rdf_text.lines(store.quads(), a.format or "nq"):
+                print(text)
         return 0
     except (ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BNODE, IRI, LANG, PLAIN, TYPED, XSD
 
-_LITERAL = re.compile(r'^"(.*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>"{}|^`\\\s]*)>)?$', re.S)
+_LITERAL = re.compile(r'^"(.*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>"{}|^`\s]*)>)?$', re.S)
 _IRI = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*$")
 _BNODE = re.compile(r"^_:[^\s<>\"]+$")
 #: The same literal grammar for both engines; the last quote ends the lexical form.
@@ -36,9 +36,20 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
 
 
+def _plain_iri(value: str) -> str:
+    """Without \\u and \\U escapes, the only ones that an IRI may have."""
+    if "\\" in value:
+        if re.search(r"\\(?!u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})", value):
+            raise ValueError(f"unknown escape in the IRI {value!r}")
+        value = unescape(value)
+        if re.search(r'[\x00-\x20<>"{}|^`\\]', value):
+            raise ValueError(f"no IRI: {value!r}")
+    return value
+
+
 def iri(value: str) -> str:
-    """<value>, which may come with its brackets."""
-    value = value[1:-1] if value.startswith("<") and value.endswith(">") else value
+    """<value>, which may come with its brackets and with escapes."""
+    value = _plain_iri(value[1:-1] if value.startswith("<") and value.endswith(">") else value)
     if not _IRI.match(value):
         raise ValueError(f"not an absolute IRI: {value!r}")
     return f"<{value}>"
@@ -63,7 +74,7 @@ def literal_parts(term: str) -> tuple[str, str | None, str | None]:
     m = _LITERAL.match(term)
     if not m:
         raise ValueError(f"not a literal: {term!r}")
-    return unescape(m[1]), m[2], m[3]
+    return unescape(m[1]), m[2], m[3] and _plain_iri(m[3])
 
 
 def term(value: str) -> str:
@@ -73,6 +84,43 @@ def term(value: str) -> str:
     return blank(value) if value.startswith("_:") else iri(value)
 
 
+def coerced(value):
+    """A term of another library as N-Triples text; what is text or None already stays. Known are terms of the RDF/JS
+    model, as objects or dictionaries with termType and value, and objects that write themselves by n3()."""
+    field = lambda x, name: x.get(name) if isinstance(x, dict) else getattr(x, name, None)
+    if value is None or isinstance(value, str) and not hasattr(value, "n3"):
+        return value
+    kind = field(value, "termType")
+    if kind is None:
+        return str(value.n3()) if callable(getattr(value, "n3", None)) else value
+    text = field(value, "value") or ""
+    if kind == "NamedNode":
+        return iri(text)
+    if kind == "BlankNode":
+        return blank(f"_:{text.removeprefix('_:')}")
+    if kind == "Literal":
+        datatype = field(value, "datatype")
+        return literal(text, field(value, "language") or None, datatype if isinstance(datatype, str) else field(datatype, "value") if datatype else None)
+    if kind == "DefaultGraph":
+        return ""
+    if kind == "Variable":
+        return None
+    raise ValueError(f"no RDF term: {kind}")
+
+
+def as_rdfjs(term: str) -> dict:
+    """A term as a dictionary of the RDF/JS model."""
+    if term == "":
+        return {"termType": "DefaultGraph", "value": ""}
+    if term.startswith("_:"):
+        return {"termType": "BlankNode", "value": term[2:]}
+    if term.startswith("<"):
+        return {"termType": "NamedNode", "value": term[1:-1]}
+    text, lang, datatype = literal_parts(term)
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString" if lang else datatype or XSD + "string"
+    return {"termType": "Literal", "value": text, "language": lang or "", "datatype": {"termType": "NamedNode", "value": kind}}
+
+
 def strict_term(value: str) -> str:
     """A term that must show by its first character what it is."""
     if value[:1] not in ("<", '"', "_"):
@@ -119,20 +167,33 @@ def escaped(c: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """Without N-Triples escapes, by the JSON reader of the JVM, whose escapes are the same but for \\U and \\'."""
+    """Without N-Triples escapes, by the JSON reader of the JVM, whose escapes are the same but for \\U, \\' and \\/. Any
+    other escape is an error."""
     far = F.regexp_extract_all(c, F.lit(r"(?<!\\)(?:\\\\)*\\U(00(?:0[1-9A-Fa-f]|10)[0-9A-Fa-f]{4})"), 1)
     wide = F.aggregate(far, c, lambda text, m: F.replace(text, F.concat(F.lit("\\U"), m), F.decode(F.unhex(m), "UTF-32")))
     near = F.regexp_replace(F.regexp_replace(wide, r"(?<!\\)((?:\\\\)*)\\U0000", r"$1\\u"), r"(?<!\\)((?:\\\\)*)\\'", "$1'")
     json = F.concat(F.lit('["'), _replaced(near, [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]), F.lit('"]'))
-    return F.when(c.contains("\\"), F.coalesce(F.get(F.from_json(json, "array<string>"), 0), c)).otherwise(c)
+    read = F.get(F.from_json(json, "array<string>", {"allowUnquotedControlChars": "true"}), 0)
+    unknown = F.raise_error(F.concat(F.lit("unknown escape in "), c)).cast("string")
+    slash = c.rlike(r"(?<!\\)(?:\\\\)*\\/")
+    return F.when(c.contains("\\"), F.when(slash, unknown).otherwise(F.coalesce(read, unknown))).otherwise(c)
+
+
+def decoded_iri(c: Column) -> Column:
+    """An IRI in brackets without \\u and \\U escapes. Other escapes, and characters that no IRI may have, are an error."""
+    plain = unescaped(c)
+    bad = c.rlike(r"\\[^uU]") | plain.rlike(r'^<.*[\x00-\x20<>"{}|^`\\].*>$')
+    return F.when(c.contains("\\"), F.when(bad, F.raise_error(F.concat(F.lit("no IRI: "), c)).cast("string")).otherwise(plain)).otherwise(c)
 
 
 def canonical(o: Column) -> Column:
-    """A term whose literal has canonical escapes and no xsd:string."""
-    lex, lang, datatype = (F.regexp_extract(o, LITERAL, i) for i in (1, 2, 3))
-    tail = F.when(lang != "", F.concat(F.lit("@"), lang)).when((datatype != "") & (datatype != XSD + "string"), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise("")
+    """A term whose IRI has no escapes, or whose literal has canonical ones and no xsd:string."""
+    lex, lang = F.regexp_extract(o, LITERAL, 1), F.regexp_extract(o, LITERAL, 2)
+    datatype = decoded_iri(F.concat(F.lit("<"), F.regexp_extract(o, LITERAL, 3), F.lit(">")))
+    tail = F.when(lang != "", F.concat(F.lit("@"), lang)).when(~datatype.isin("<>", f"<{XSD}string>"), F.concat(F.lit("^^"), datatype)).otherwise("")
     again = F.concat(F.lit('"'), escaped(unescaped(lex)), F.lit('"'), tail)
-    return F.when(o.startswith('"') & (o.contains("\\") | o.endswith(f"<{XSD}string>") | o.contains("\n") | o.contains("\r")), again).otherwise(o)
+    text = F.when(o.contains("\\") | o.endswith(f"<{XSD}string>") | o.contains("\n") | o.contains("\r"), again).otherwise(o)
+    return F.when(o.startswith('"'), text).otherwise(decoded_iri(o))
 
 
 def typed_columns(o: Column) -> dict[str, Column]:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import composed, typed_columns
 from ..schema import QUAD
-from ..storage import dense_ranks, fresh
+from ..storage import dense_ranks, fresh, written
 
-#: Terms up to which a dictionary is broadcast to the tasks that encode or decode; beyond it, joins shuffle.
+#: Terms up to which a dictionary is broadcast to the tasks that encode or decode, unless told otherwise.
 MOST_BROADCAST_TERMS = 1 << 20
 
 
@@ -28,22 +28,37 @@ def dictionary(quads: DataFrame) -> DataFrame:
     return dense_ranks(distinct, ["term"], "code", fresh(quads.sparkSession, "terms")).select("code", "term")
 
 
-def _side(terms: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(terms) if count <= MOST_BROADCAST_TERMS else terms
+def _side(terms: DataFrame, count: int, most: int) -> DataFrame:
+    return F.broadcast(terms) if count <= most else terms
 
 
-def encoded(quads: DataFrame, terms: DataFrame, count: int) -> DataFrame:
-    """Terms by their codes. A term that the dictionary lacks is an error."""
+def of_position(quads: DataFrame, terms: DataFrame, key: str, column: str) -> DataFrame:
+    """The part of a dictionary that a position needs; key is the dictionary's column that the position holds."""
+    some = quads.select(F.col(column).alias("_k")).distinct()
+    return terms.join(some, F.col(key) == F.col("_k"), "left_semi")
+
+
+def encoded(quads: DataFrame, terms: DataFrame, count: int, most: int | None = None) -> DataFrame:
+    """Terms by their codes. A term that the dictionary lacks is an error.
+
+    A dictionary of more than `most` terms is joined by a shuffle, but never by predicates or graphs, of which a few may
+    have nearly all rows: their terms are gathered first and broadcast if they are that few."""
+    most = MOST_BROADCAST_TERMS if most is None else most
     for c in QUAD:
-        side = _side(terms.select(F.col("term").alias("_t"), F.col("code").alias("_c")), count)
+        part, n = terms, count
+        if count > most and c in "pg":
+            part = written(of_position(quads, terms, "term", c), fresh(quads.sparkSession, f"terms_{c}"))
+            n = part.count()
+        side = _side(part.select(F.col("term").alias("_t"), F.col("code").alias("_c")), n, most)
         code = F.coalesce("_c", F.raise_error(F.concat(F.lit("not in the dictionary: "), c)).cast("long"))
         quads = quads.join(side, F.col(c) == F.col("_t"), "left").withColumn(c, code).drop("_t", "_c")
     return quads
 
 
-def decoded(codes: DataFrame, terms: DataFrame, count: int, columns: tuple[str, ...] = QUAD) -> DataFrame:
+def decoded(codes: DataFrame, terms: dict[str, tuple[DataFrame, int]], most: int | None = None) -> DataFrame:
+    """Codes of some positions by their terms; terms has a dictionary, and how many terms it has, for each of them."""
     names = codes.columns
-    for c in columns:
-        side = _side(terms.select(F.col("code").alias("_c"), F.col("term").alias("_t")), count)
+    for c, (part, n) in terms.items():
+        side = _side(part.select(F.col("code").alias("_c"), F.col("term").alias("_t")), n, MOST_BROADCAST_TERMS if most is None else most)
         codes = codes.join(side, F.col(c) == F.col("_c")).drop(c, "_c").withColumnRenamed("_t", c)
     return codes.select(*names)

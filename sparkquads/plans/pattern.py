@@ -33,7 +33,9 @@ class Pattern:
 
     @classmethod
     def of(cls, s=None, p=None, o=None, g=None) -> Pattern:
-        """Checks the terms and raises ValueError for those that can't be in their position."""
+        """Checks the terms, which may be of other libraries (terms.coerced), and raises ValueError for those that can't be
+        in their position."""
+        s, p, o, g = (x if x is DEFAULT_GRAPH else terms.coerced(x) for x in (s, p, o, g))
         for name, x in zip(QUAD, (s, p, o, g)):
             if x is not None and not isinstance(x, str) and x is not DEFAULT_GRAPH:
                 raise ValueError(f"{name} must be a string or None, not {type(x).__name__}")
@@ -71,7 +73,7 @@ def conjunction(parts: list[Column]) -> Column:
 
 def access_path(pattern: Pattern, indexes: tuple[str, ...]) -> str:
     """base, posg, ospg, ref_o or ref_p. With the subject bound the base is best, as it is sorted by it; a full copy
-    goes before row ids, an object before a predicate."""
+    goes before row ids, an object before a predicate. Row ids are used while they are few, see QuadStore._base."""
     b = pattern.bound
     if "s" not in b:
         if "by_copy" in indexes and ("p" in b or "o" in b):

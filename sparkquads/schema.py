@@ -11,6 +11,7 @@ BUILDERS = ("unsorted_stream", "sorted_in_memory", "sorted_stream")
 
 QUADS = StructType([StructField(c, StringType(), False) for c in QUAD])
 CODES = StructType([StructField(c, LongType(), False) for c in QUAD])
+TYPED_OBJECT = "s string, p string, o_kind int, o_value string, o_datatype string, o_lang string, g string"
 TERMS = StructType([StructField("code", LongType(), False), StructField("term", StringType(), False)])
 
 #: Codes of o_kind.
@@ -19,6 +20,18 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
+def stored(layout: str, name: str) -> str:
+    """The columns of a store's files, so that reading them needs no look into one."""
+    term = "bigint" if layout == "dictionary" else "string"
+    if name.startswith("dict"):
+        return "code bigint, term string"
+    if name.startswith("ref_"):
+        return f"val {term}, rid bigint"
+    if name == "base" and layout == "typed_object":
+        return f"{TYPED_OBJECT}, rid bigint"
+    return ", ".join(f"{c} {term}" for c in QUAD) + ", rid bigint"
+
+
 def options(layout: str, indexes, builder: str) -> tuple[str, tuple[str, ...], str]:
     """Checked and normalised build options; names may be in any case and with or without underscores."""
 

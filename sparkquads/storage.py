@@ -60,13 +60,22 @@ def numbered_files(spark: SparkSession, folder: str, prefix: str) -> dict[int, s
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Fails if the file exists, so that of two writers one wins."""
-    fs, p = _fs(spark, path)
-    out = fs.create(p, False)
+    """Written beside and renamed, so that a reader finds all of it or nothing. Fails if the file exists: of two writers
+    one wins."""
+    folder, _, name = path.rpartition("/")
+    fs, beside = _fs(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    out = fs.create(beside, False)
     try:
         out.write(bytearray(json.dumps(value, indent=1).encode()))
     finally:
         out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(beside, _fs(spark, path)[1], spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception:
+        fs.delete(beside, False)
+        raise
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

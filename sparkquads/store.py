@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import terms
 from .operators import layouts
 from .plans.pattern import Pattern, access_path, conjunction, tail_needs_compaction
-from .schema import QUAD, QUADS, options
-from .storage import fresh, numbered_files, read_json, write_json
+from .schema import QUAD, QUADS, options, stored
+from .storage import fresh, numbered_files, read_json, write_json, written
 
+#: Keys, rows or row ids up to which a look-up reads them to the driver and pushes them to the scan; ISIN of them as values.
+FEW, ISIN = 4096, 64
+#: Quads that an ingest from Python packs at once, and terms whose codes a store remembers.
+CHUNK, PROBES = 65_536, 256
 _ORDERS = {"posg": ["p", "o", "s", "g"], "ospg": ["o", "s", "p", "g"]}
 
 
@@ -21,11 +28,41 @@ class StoreError(Exception):
     """What can't be done with this store."""
 
 
+class _Shared:
+    """What a store and its views have in common: codes that were looked up, and tables if they are held in memory."""
+
+    def __init__(self, resident_terms: int | None = None, eager: bool = False):
+        self.resident_terms = layouts.MOST_BROADCAST_TERMS if resident_terms is None else resident_terms
+        self.eager, self.codes, self.tables = eager, {}, {}
+
+
+def _local(spark: SparkSession, column: str, values: list) -> DataFrame:
+    return spark.createDataFrame(pa.table({column: pa.array(values, pa.int64() if values and isinstance(values[0], int) else pa.string())}))
+
+
+def _among(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose column has one of a few values, which the scan is told, if they are many by the range that they span."""
+    if len(values) <= ISIN:
+        return rows.where(F.col(column).isin(values) if values else F.lit(False))
+    keys = F.broadcast(_local(rows.sparkSession, "_k", values))  # FEW at most
+    return rows.where(F.col(column).between(min(values), max(values))).join(keys, F.col(column) == F.col("_k"), "left_semi")
+
+
+def _narrowed(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose column is among the keys, distinct in their one column."""
+    some = [r[0] for r in keys.limit(FEW + 1).collect()]
+    if len(some) <= FEW:
+        return _among(rows, column, some)
+    keys = keys.toDF("_k")
+    low, high = keys.agg(F.min("_k"), F.max("_k")).first()
+    return rows.where(F.col(column).between(low, high)).join(keys, F.col(column) == F.col("_k"), "left_semi")
+
+
 class QuadStore:
     """A store, or a view of one that patterns have narrowed. Every change returns a new store and leaves this one."""
 
-    def __init__(self, spark: SparkSession, path: str, manifest: dict, patterns: tuple[Pattern, ...] = ()):
-        self.spark, self.path, self.manifest, self.patterns = spark, path, manifest, patterns
+    def __init__(self, spark: SparkSession, path: str, manifest: dict, patterns: tuple[Pattern, ...] = (), shared: _Shared | None = None):
+        self.spark, self.path, self.manifest, self.patterns, self._shared = spark, path, manifest, patterns, shared or _Shared()
 
     # building and opening
 
@@ -42,13 +79,102 @@ class QuadStore:
         return cls.build(spark.createDataFrame([], QUADS), path, **kw)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> QuadStore:
-        """The latest version in a folder. Reads the manifest alone; FileNotFoundError if there is none."""
+    def open(cls, spark: SparkSession, path: str, resident_terms: int | None = None) -> QuadStore:
+        """The latest version in a folder. Reads the manifest alone; FileNotFoundError if there is none. A dictionary of
+        up to resident_terms terms is broadcast to where it is needed, a larger one is joined; 0 never broadcasts it."""
         path = path.rstrip("/")
         found = numbered_files(spark, path, "manifest-")
         if not found:
             raise FileNotFoundError(f"{path}: no manifest")
-        return cls(spark, path, read_json(spark, found[max(found)]))
+        return cls(spark, path, read_json(spark, found[max(found)]), shared=_Shared(resident_terms))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, resident_terms: int | None = None) -> QuadStore:
+        """Like open(), with the tables held in the executors' memory from their first use on; unload() gives it back.
+        What doesn't fit stays on disk."""
+        store = cls.open(spark, path, resident_terms)
+        store._shared.eager = True
+        store._read("base").count()
+        return store
+
+    def unload(self) -> None:
+        for df in self._shared.tables.values():
+            df.unpersist()
+        self._shared.tables.clear()
+        self._shared.eager = False
+
+    @classmethod
+    def ingest(cls, spark: SparkSession, quads: Iterable[tuple], path: str | None = None, chunk: int = CHUNK, **kw) -> QuadStore:
+        """Stores quads of a Python iterable, duplicates included, of which one chunk at a time is on the driver."""
+        staged, quads = fresh(spark, "packed"), iter(quads)
+        spark.createDataFrame([], QUADS).write.parquet(staged)
+        while part := list(islice(quads, chunk)):
+            _packed(spark, part).write.mode("append").parquet(staged)
+        return cls.build(spark.read.schema(QUADS).parquet(staged), path, **kw)
+
+    @classmethod
+    def from_table(cls, table: DataFrame | pa.Table, dictionary: DataFrame | pa.Table | None = None, spark: SparkSession | None = None, path: str | None = None, **kw) -> QuadStore:
+        """A store of a table whose columns tell its layout: o_kind is there in typed_object, s, p, o and g are integers
+        in dictionary, which needs the dictionary (code, term) too, and text, plain or Arrow-encoded, in default. The
+        layout can be given to store it in another. Further columns are left out. Terms are taken as they are."""
+        spark = spark or getattr(table, "sparkSession", None) or SparkSession.active()
+        frame = lambda t: t if isinstance(t, DataFrame) else spark.createDataFrame(_unencoded(t))
+        df = frame(table)
+        types = dict(df.dtypes)
+        missing = [c for c in ("s", "p", "g") if c not in types]
+        if missing or ("o" not in types and "o_kind" not in types):
+            raise ValueError(f"no quads: columns {', '.join(df.columns)}")
+        if "o_kind" in types:
+            found, quads = "typed_object", layouts.plain_objects(df.select("s", "p", "o_kind", "o_value", "o_datatype", "o_lang", "g"))
+        elif types["s"] in ("tinyint", "smallint", "int", "bigint"):
+            if dictionary is None:
+                raise ValueError("codes without a dictionary")
+            words = frame(dictionary).select(F.col("code").cast("long").alias("code"), "term")
+            found, n = "dictionary", words.count()
+            quads = layouts.decoded(df.select(*(F.col(c).cast("long").alias(c) for c in QUAD)), {c: (words, n) for c in QUAD})
+        else:
+            found, quads = "default", df
+        return cls.build(quads.select(*QUAD), path, **({"layout": found} | kw))
+
+    # bytes
+
+    def ready(self) -> tuple[pa.Table, pa.Table | None]:
+        """The quads that match, in this layout, and the dictionary of just these quads, as Arrow tables on the driver,
+        which must be able to hold them."""
+        quads = self.quads()
+        if self.layout == "typed_object":
+            return layouts.typed_objects(quads).toArrow(), None
+        table = quads.toArrow()
+        if self.layout == "default":
+            return table, None
+        terms_ = np.array(sorted({x.encode() for c in QUAD for x in table.column(c).to_pylist()}), object)
+        code = {t: i for i, t in enumerate(terms_)}
+        codes = pa.table({c: pa.array([code[x.encode()] for x in table.column(c).to_pylist()], pa.int64()) for c in QUAD})
+        return codes, pa.table({"code": pa.array(range(len(terms_)), pa.int64()), "term": pa.array([t.decode() for t in terms_], pa.string())})
+
+    def to_bytes(self, chunk: int = CHUNK) -> bytes:
+        """Arrow IPC: a stream of the quads, a message for each chunk, and behind it one of the dictionary if there is
+        one. The schema's metadata has the build options, so the bytes describe themselves."""
+        about = {"layout": self.layout, "indexes": ",".join(self.indexes), "builder": self.manifest["builder"]}
+        sink = pa.BufferOutputStream()
+        for table in self.ready():
+            if table is not None:
+                with pa.ipc.new_stream(sink, table.schema.with_metadata(about)) as out:
+                    out.write_table(table.replace_schema_metadata(about), max_chunksize=chunk)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def from_bytes(cls, spark: SparkSession, data: bytes, path: str | None = None, **kw) -> QuadStore:
+        """A store of what to_bytes() wrote, or of any Arrow IPC stream of quads. All messages of it are read. Options
+        are those in the bytes unless given."""
+        source, tables = pa.BufferReader(data), []
+        while source.tell() < len(data):
+            tables.append(pa.ipc.open_stream(source).read_all())
+        if not tables:
+            raise ValueError("no Arrow stream")
+        about = {k.decode(): v.decode() for k, v in (tables[0].schema.metadata or {}).items()}
+        told = {k: about[k] for k in ("layout", "builder") if k in about} | ({"indexes": [i for i in about["indexes"].split(",") if i]} if "indexes" in about else {})
+        return cls.from_table(tables[0], tables[1] if len(tables) > 1 else None, spark, path, **(told | kw))
 
     @staticmethod
     def _write(quads: DataFrame, path: str, layout: str, indexes: tuple[str, ...], builder: str, version: int) -> dict:
@@ -65,8 +191,12 @@ class QuadStore:
             rows = rows.repartitionByRange(*QUAD).sortWithinPartitions(*QUAD)
         rows = rows.withColumn("rid", F.monotonically_increasing_id())
         (layouts.typed_objects(rows) if layout == "typed_object" else rows).write.parquet(f"{at}/base")
-        base = spark.read.parquet(f"{at}/base")
+        base = spark.read.schema(stored(layout, "base")).parquet(f"{at}/base")
         manifest["base_rows"] = base.count()
+        if layout == "dictionary":  # predicates and graphs are few as a rule, and then decoded without the others
+            for c in "pg":
+                layouts.of_position(base, words, "code", c).write.parquet(f"{at}/dict_{c}")
+                manifest[f"terms_{c}"] = spark.read.parquet(f"{at}/dict_{c}").count()
         flat = layouts.plain_objects(base) if layout == "typed_object" else base
         if "by_copy" in indexes:
             for name, order in _ORDERS.items():
@@ -100,16 +230,31 @@ class QuadStore:
         return self.manifest["tail_rows"]
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.manifest['at']}/{name}")
+        at = f"{self.manifest['at']}/{name}"
+        if at in self._shared.tables:
+            return self._shared.tables[at]
+        df = self.spark.read.schema(stored(self.layout, name)).parquet(at)
+        if self._shared.eager:
+            df = self._shared.tables[at] = df.persist()
+        return df
 
     def terms(self) -> DataFrame | None:
         """(code, term) of this version, or None without a dictionary. Terms of the tail have no code."""
         return self._read("dict") if self.layout == "dictionary" else None
 
     def encode_term(self, term: str) -> int | None:
-        words = self.terms()
-        row = words and words.where(F.col("term") == (term if term == "" else terms.term(term))).first()
-        return row["code"] if row else None
+        return self._probed([term if term == "" else terms.term(term)])[0] if self.layout == "dictionary" else None
+
+    def _probed(self, wanted: list[str]) -> list[int | None]:
+        """Codes of terms, None for those without one. The last ones are remembered, for a dictionary never changes."""
+        codes, at = self._shared.codes, self.manifest["at"]
+        unknown = sorted({t for t in wanted if (at, t) not in codes})
+        if unknown:
+            found = {r["term"]: r["code"] for r in _among(self.terms(), "term", unknown).collect()}
+            while len(codes) + len(unknown) > PROBES and codes:
+                del codes[next(iter(codes))]
+            codes.update({(at, t): found.get(t) for t in unknown})
+        return [codes[at, t] for t in wanted]
 
     def decode_code(self, code: int) -> str | None:
         words = self.terms()
@@ -121,7 +266,7 @@ class QuadStore:
     def match(self, s=None, p=None, o=None, g=None) -> QuadStore:
         """A lazy view of the quads with these terms; None is open, DEFAULT_GRAPH the default graph. On a view it narrows
         further. A term that can't be in its position is a ValueError."""
-        return QuadStore(self.spark, self.path, self.manifest, (*self.patterns, Pattern.of(s, p, o, g)))
+        return QuadStore(self.spark, self.path, self.manifest, (*self.patterns, Pattern.of(s, p, o, g)), self._shared)
 
     def _merged(self) -> Pattern | None:
         """All patterns as one; None if they contradict each other."""
@@ -136,25 +281,28 @@ class QuadStore:
         merged = self._merged()
         return access_path(merged, self.indexes) if merged else "base"
 
-    def _base(self) -> DataFrame:
-        """Live rows of the base that match: s, p, o, g (codes in a dictionary) and rid."""
+    def _base(self, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Live rows of the base that match: s, p, o, g (codes in a dictionary) and rid. `only` may narrow what is read.
+
+        Row ids of an index by reference are read first. If they are few, the base is scanned for them, which its sorted
+        row ids let it do in few places; if not, it is scanned for the terms, as a join would only add to that."""
         pattern = self._merged()
         path = self.access_path()
         codes: dict[str, object] = dict(pattern.bound) if pattern else {}
         never = pattern is None
         if self.layout == "dictionary" and codes:
-            wanted = list(set(codes.values()))
-            found = {r["term"]: r["code"] for r in self.terms().where(F.col("term").isin(wanted)).collect()}  # four at most
-            never = never or len(found) < len(wanted)
-            codes = {c: found.get(x, -1) for c, x in codes.items()}
+            found = self._probed(list(codes.values()))  # four at most
+            never = never or None in found
+            codes = {c: -1 if x is None else x for c, x in zip(codes, found)}
         equal = conjunction([F.col(c) == F.lit(x) for c, x in codes.items()])
         if path in _ORDERS:
             rows = self._read(path).where(equal)
         else:
-            rows = self._read("base")
-            if path.startswith("ref_"):
-                rids = self._read(path).where(F.col("val") == F.lit(codes[path[-1]])).select("rid")
-                rows = rows.join(rids, "rid", "left_semi")
+            rows = only(self._read("base"))
+            if path.startswith("ref_") and not never:
+                rids = [r[0] for r in self._read(path).where(F.col("val") == F.lit(codes[path[-1]])).select("rid").limit(FEW + 1).collect()]
+                if len(rids) <= FEW:
+                    rows = _among(rows, "rid", rids)
             if self.layout == "typed_object":
                 rows = layouts.plain_objects(rows.where(pattern.typed_condition() if pattern else F.lit(False)))
             else:
@@ -162,7 +310,7 @@ class QuadStore:
         if never:
             rows = rows.where(F.lit(False))
         if self.manifest["tombs"]:
-            rows = rows.join(self.spark.read.parquet(*self.manifest["tombs"]), "rid", "left_anti")
+            rows = rows.join(self.spark.read.schema("rid bigint").parquet(*self.manifest["tombs"]), "rid", "left_anti")
         return rows.select(*QUAD, "rid")
 
     def _tail(self) -> DataFrame | None:
@@ -174,15 +322,28 @@ class QuadStore:
     # reading
 
     def quads(self) -> DataFrame:
-        """(s, p, o, g) as terms; the order is no contract."""
+        """(s, p, o, g) as terms; the order is no contract. Lazy, but for a view of a dictionary's store: this reads the
+        codes of up to FEW matching rows and, if these are all, their terms alone, instead of joining the dictionary."""
         base = self._base().select(*QUAD)
         if self.layout == "dictionary":
             known = (self._merged() or Pattern()).bound  # needs no look-up
-            base = layouts.decoded(base, self.terms(), self.manifest["terms"], tuple(c for c in QUAD if c not in known))
-            base = base.withColumns({c: F.lit(x) for c, x in known.items()}).select(*QUAD)
+            open_ = [c for c in QUAD if c not in known]
+            some = base.select(*open_).limit(FEW + 1).collect() if known and open_ else None
+            if some is not None and len(some) <= FEW:
+                codes = sorted({x for r in some for x in r})
+                words = {r["code"]: r["term"] for r in _among(self.terms(), "code", codes).collect()} if codes else {}
+                base = self.spark.createDataFrame(pa.table({c: pa.array([known[c]] * len(some) if c in known else [words[r[c]] for r in some], pa.string()) for c in QUAD}))
+            else:
+                sides = {c: (self._read(f"dict_{c}"), self.manifest[f"terms_{c}"]) if c in "pg" else (self.terms(), self.manifest["terms"]) for c in open_}
+                base = layouts.decoded(base, sides, self._shared.resident_terms)
+                base = base.withColumns({c: F.lit(x) for c, x in known.items()}).select(*QUAD)
         tail = self._tail()
         return base if tail is None else base.unionByName(tail)
 
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        """The quads one by one, a partition at a time on the driver."""
+        return (tuple(r) for r in self.quads().toLocalIterator(prefetchPartitions=True))
+
     def triples(self) -> DataFrame:
         """Without graphs; a triple of two graphs comes twice."""
         return self.quads().select("s", "p", "o")
@@ -191,6 +352,11 @@ class QuadStore:
         """(s, p, o, g) as codes, without the dictionary; None in other layouts or with a tail, whose terms have none."""
         return None if self.layout != "dictionary" or self.manifest["tail"] else self._base().select(*QUAD)
 
+    def code_column(self, column: str) -> np.ndarray | None:
+        """The codes of one position, on the driver, as Arrow delivers them; None where codes() is."""
+        codes = self.codes()
+        return None if codes is None else codes.select(column).toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False)
+
     def compact_result(self) -> tuple[DataFrame, DataFrame]:
         """The distinct terms of the matching triples as (id, term), and the triples as ids."""
         triples = self.triples()
@@ -220,21 +386,27 @@ class QuadStore:
             raise StoreError(f"{what}: this is a view of a store; owned() makes a store of it")
 
     def _next(self, **changes) -> QuadStore:
-        return QuadStore(self.spark, self.path, self.manifest | {"version": self.manifest["version"] + 1} | changes)
+        return QuadStore(self.spark, self.path, self.manifest | {"version": self.manifest["version"] + 1} | changes, (), self._shared)
 
     def _part(self, kind: str) -> str:
         return f"{self.path}/{kind}-{uuid.uuid4().hex}"
 
-    def add(self, quads: DataFrame | Iterable[tuple]) -> QuadStore:
-        """With the quads that aren't in the store yet, each once. The base stays; a large tail is compacted."""
+    def add(self, quads: DataFrame | pa.Table | Iterable[tuple]) -> QuadStore:
+        """With the quads that aren't in the store yet, each once. Of the base only what has one of the new subjects is
+        read; it stays as it is, and a large tail is compacted. An Arrow table's terms are taken as they are, like a
+        DataFrame's."""
         self._owner("add")
-        if not isinstance(quads, DataFrame):
-            rows = [(terms.subject(q[0]), terms.predicate(q[1]), terms.term(q[2]), terms.graph(q[3] if len(q) > 3 else "")) for q in quads]
-            quads = self.spark.createDataFrame(rows, QUADS)
-        new = quads.select(*QUAD).distinct().join(self.quads(), list(QUAD), "left_anti")
+        if isinstance(quads, pa.Table):
+            quads = self.spark.createDataFrame(_unencoded(quads))
+        elif not isinstance(quads, DataFrame):
+            quads = _packed(self.spark, list(quads))
+        new = written(quads.select(*QUAD).distinct(), fresh(self.spark, "new"))
+        missing = new.join(self._present(new), list(QUAD), "left_anti")
+        if (tail := self._tail()) is not None:
+            missing = missing.join(tail, list(QUAD), "left_anti")
         part = self._part("tail")
-        new.write.parquet(part)
-        n = self.spark.read.parquet(part).count()
+        missing.write.parquet(part)
+        n = self.spark.read.schema(QUADS).parquet(part).count()
         if not n:
             return self
         out = self._next(tail=[*self.manifest["tail"], part], tail_rows=self.manifest["tail_rows"] + n)
@@ -242,6 +414,19 @@ class QuadStore:
             return out._compacted(self.indexes)
         return out._committed()
 
+    def _present(self, new: DataFrame) -> DataFrame:
+        """Those of the quads that the live base has. It is sorted by subject, so a few subjects are in few places."""
+        if self.layout != "dictionary":
+            return self._base(lambda rows: _narrowed(rows, "s", new.select("s").distinct())).select(*QUAD)
+        terms_ = new.select(F.explode(F.array(*QUAD)).alias("term")).distinct()
+        words = written(_narrowed(self.terms(), "term", terms_), fresh(self.spark, "words"))
+        known = new
+        for c in QUAD:  # a term without a code is in no quad of the base
+            known = known.join(words.select(F.col("term").alias(c), F.col("code").alias(f"{c}_")), c)
+        known = written(known.select(*QUAD, *(f"{c}_" for c in QUAD)), fresh(self.spark, "known"))
+        base = self._base(lambda rows: _narrowed(rows, "s", known.select("s_").distinct())).select(*(F.col(c).alias(f"{c}_") for c in QUAD))
+        return known.join(base, [f"{c}_" for c in QUAD], "left_semi").select(*QUAD)
+
     def delete(self, s=None, p=None, o=None, g=None) -> QuadStore:
         """Without all quads that match, duplicates included."""
         self._owner("delete")
@@ -263,7 +448,7 @@ class QuadStore:
 
     def _compacted(self, indexes: Iterable[str]) -> QuadStore:
         layout, chosen, builder = options(self.layout, indexes, self.manifest["builder"])
-        return QuadStore(self.spark, self.path, self._write(self.quads(), self.path, layout, chosen, builder, self.manifest["version"] + 1))._committed()
+        return QuadStore(self.spark, self.path, self._write(self.quads(), self.path, layout, chosen, builder, self.manifest["version"] + 1), (), self._shared)._committed()
 
     def compact(self, indexes: Iterable[str] | None = None) -> QuadStore:
         """Base, tail and tombstones as a new base, with a new dictionary, and the same or other indexes."""
@@ -275,3 +460,16 @@ class QuadStore:
         if not self.is_view and path is None:
             return self
         return QuadStore.build(self.quads(), path, self.layout, self.indexes, self.manifest["builder"])
+
+
+def _packed(spark: SparkSession, quads: list[tuple]) -> DataFrame:
+    """Checked quads of three or four terms, as columns."""
+    term = lambda q, i: terms.coerced(q[i])
+    rows = [(terms.subject(term(q, 0)), terms.predicate(term(q, 1)), terms.term(term(q, 2)), terms.graph(term(q, 3) if len(q) > 3 else "")) for q in quads]
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(QUAD)}))
+
+
+def _unencoded(table: pa.Table) -> pa.Table:
+    """With Arrow dictionaries as plain columns."""
+    plain = lambda c: c.cast(c.type.value_type) if pa.types.is_dictionary(c.type) else c
+    return pa.table({name: plain(table.column(name)) for name in table.column_names})
