@@ -48,7 +48,18 @@ def _where(pattern: dict[str, str]) -> str:
 
 
 def _match(spark: SparkSession, d: str, **bound) -> DataFrame:
-    return _quads(spark, d).where(Pattern.of(**bound).condition())
+    return _stored(spark, d).match(**bound).quads()
+
+
+_STORES: dict[tuple, QuadStore] = {}
+
+
+def _stored(spark: SparkSession, d: str, layout: str = "default", *indexes: str) -> QuadStore:
+    """A store of all quads of the tables, built once for each session."""
+    key = (spark.sparkContext.applicationId, d, layout, indexes)
+    if key not in _STORES:
+        _STORES[key] = QuadStore.build(_quads(spark, d), layout=layout, indexes=indexes)
+    return _STORES[key]
 
 
 @query(f"{_Q} select * from q")
@@ -56,11 +67,16 @@ def scan_all(spark, d):
     return _quads(spark, d)
 
 
+#: Stores that all shapes of patterns are put to.
+STORES = {"match": ("default",), "typed_match": ("typed_object", "by_reference"), "coded_match": ("dictionary", "by_copy")}
+
+
 def _shapes() -> None:
-    for n in range(5):
-        for cs in combinations(QUAD, n):
-            bound = {c: PROBE[c] for c in cs}
-            query(f"{_Q} select * from q where {_where(bound)}", f"match_{''.join(cs) or 'all'}")(lambda s, d, b=bound: _match(s, d, **b))
+    for prefix, store in STORES.items():
+        for n in range(5):
+            for cs in combinations(QUAD, n):
+                bound = {c: PROBE[c] for c in cs}
+                query(f"{_Q} select * from q where {_where(bound)}", f"{prefix}_{''.join(cs) or 'all'}")(lambda s, d, b=bound, x=store: _stored(s, d, *x).match(**b).quads())
 
 
 _shapes()
@@ -97,6 +113,20 @@ def match_triples(spark, d):
     return QuadStore.build(_quads(spark, d), layout="dictionary", indexes=["by_copy"]).match(o=THIRD).triples()
 
 
+_M = f"{_Q}, m as (select * from q where p = '{NATION}')"
+
+
+@query(f"{_M}, t as (select s term from m union select p from m union select o from m), k as (select (row_number() over (order by term) - 1)::bigint id, term from t) select * from k")
+def match_compact_ids(spark, d):
+    return _stored(spark, d).match(p=NATION).compact_result()[0]
+
+
+@query(f"""{_M}, t as (select s term from m union select p from m union select o from m), k as (select (row_number() over (order by term) - 1)::bigint id, term from t)
+select a.id s, b.id p, c.id o from m join k a on m.s = a.term join k b on m.p = b.term join k c on m.o = c.term""")
+def match_compact_triples(spark, d):
+    return _stored(spark, d, "dictionary", "by_copy").match(p=NATION).compact_result()[1]
+
+
 @query(f"{_Q}, m as (select * from q where p = '{NATION}') select s as term from m union select p from m union select o from m")
 def match_compact_terms(spark, d):
     return QuadStore.build(_quads(spark, d)).match(p=NATION).compact_result()[0].select("term")
@@ -129,23 +159,22 @@ def dict_decode(spark, d):
 
 @query(f"{_DICT} select code from k where term = '{THIRD}'")
 def encode_term(spark, d):
-    return layouts.dictionary(_quads(spark, d)).where(F.col("term") == THIRD).select("code")
+    return spark.createDataFrame([(_stored(spark, d, "dictionary", "by_copy").encode_term(THIRD),)], "code long")
 
 
 @query(f"{_Q} select (count(*) > 0) found from q where {_where(PROBE)}")
 def contains(spark, d):
-    n = _match(spark, d, **PROBE).limit(1)
-    return n.agg((F.count("*") > 0).alias("found"))
+    return spark.createDataFrame([(_stored(spark, d).contains(*PROBE.values()),)], "found boolean")
 
 
 @query(f"{_Q} select count(*)::bigint n from q")
 def size(spark, d):
-    return _quads(spark, d).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(_stored(spark, d, "typed_object", "by_reference").size(),)], "n long")
 
 
 @query(f"{_Q} select count(*)::bigint n from q where p = '{NATION}'")
 def size_filtered(spark, d):
-    return _match(spark, d, p=NATION).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(_stored(spark, d, "dictionary", "by_copy").match(p=NATION).size(),)], "n long")
 
 
 _L = f"regexp_extract(o, '{LITERAL_SQL}', %d)"
@@ -175,38 +204,49 @@ def literal_parts(spark, d):
 _RIDS = f"{_Q}, r as (select *, (row_number() over (order by s, p, o, g) - 1)::bigint rid from q)"
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return dense_ranks(_quads(spark, d), list(QUAD), "rid", fresh(spark, "rids")).select(*QUAD, "rid")
+def _in_files(df: DataFrame, name: str) -> DataFrame:
+    """With the place, from 0, at which a row lies in a store's files, as they are ordered by name."""
+    spark = df.sparkSession
+    at = df.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return dense_ranks(at, ["file", "row"], name, fresh(spark, name)).drop("file", "row")
+
+
+def _rids(spark: SparkSession, d: str, index: str, name: str, layout: str = "default") -> DataFrame:
+    """A table of a store with the place of its row ids among all, as ids leave gaps between partitions."""
+    store = _stored(spark, d, layout, index)
+    dense = dense_ranks(store._read("base").select("rid"), ["rid"], "dense", fresh(spark, "dense")).select("rid", "dense")
+    return _in_files(store._read(name), "place").join(dense, "rid").drop("rid").withColumnRenamed("dense", "rid")
 
 
 @query(f"{_RIDS} select * from r")
 def sorted_rids(spark, d):
-    return _ranked(spark, d)
+    """As the base lies in its files."""
+    return _in_files(_stored(spark, d)._read("base"), "place").select(*QUAD, F.col("place").alias("rid"))
 
 
 @query(f"{_RIDS} select s, p, o, g, rid, (row_number() over (order by p, o, s, g) - 1)::bigint place from r")
 def index_posg(spark, d):
-    return dense_ranks(_ranked(spark, d), ["p", "o", "s", "g"], "place", fresh(spark, "posg")).select(*QUAD, "rid", "place")
+    return _rids(spark, d, "by_copy", "posg").select(*QUAD, "rid", "place")
 
 
 @query(f"{_RIDS} select s, p, o, g, rid, (row_number() over (order by o, s, p, g) - 1)::bigint place from r")
 def index_ospg(spark, d):
-    return dense_ranks(_ranked(spark, d), ["o", "s", "p", "g"], "place", fresh(spark, "ospg")).select(*QUAD, "rid", "place")
+    return _rids(spark, d, "by_copy", "ospg").select(*QUAD, "rid", "place")
 
 
-@query(f"{_RIDS} select o val, rid from r")
+@query(f"{_RIDS} select o val, rid, (row_number() over (order by o, rid) - 1)::bigint place from r")
 def index_ref_o(spark, d):
-    return _ranked(spark, d).select(F.col("o").alias("val"), "rid")
+    return _rids(spark, d, "by_reference", "ref_o").select("val", "rid", "place")
 
 
-@query(f"{_RIDS} select p val, rid from r")
+@query(f"{_RIDS} select p val, rid, (row_number() over (order by p, rid) - 1)::bigint place from r")
 def index_ref_p(spark, d):
-    return _ranked(spark, d).select(F.col("p").alias("val"), "rid")
+    return _rids(spark, d, "by_reference", "ref_p", "typed_object").select("val", "rid", "place")
 
 
 @query(f"{_RIDS} select rid from r where o = '{THIRD}'")
 def index_probe_rids(spark, d):
-    return _ranked(spark, d).where(F.col("o") == THIRD).select("rid")
+    return _rids(spark, d, "by_reference", "ref_o").where(F.col("val") == THIRD).select("rid")
 
 
 @query(f"{_Q} select * from q where o = '{THIRD}'")
@@ -292,6 +332,59 @@ def parse_nquads(spark, d):
     return rdf_text.read(spark, path, "nq")
 
 
+_ESC = f"""with n as (select '<{X}' || chr(233) || chr(128512) || '/' || n_nationkey || '>' s, '<{X}p' || chr(233) || '>' p,
+'"' || n_name || chr(233) || '\\n\\\\"^^<{X}d' || chr(233) || '>' o, '<{X}g' || chr(233) || '>' g from nation)"""
+
+
+def _escaped(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with escapes in all four positions and in a datatype."""
+    t = spark.read.parquet(f"{d}/nation.parquet")
+    line = F.concat(
+        F.lit(f"<{X}\\u00e9\\U0001F600/"), F.col("n_nationkey").cast("string"), F.lit(f"> <{X}p\\u00E9> \""), "n_name", F.lit(f"\\u00e9\\n\\\\\"^^<{X}d\\u00e9> <{X}g\\U000000e9> . # a comment")
+    )
+    return rdf_text.parsed(t.select(line.alias("value")))
+
+
+@query(f"{_ESC} select * from n")
+def parse_escaped_iris(spark, d):
+    return _escaped(spark, d)
+
+
+@query(f"{_ESC} select * from n where s = '<{X}' || chr(233) || chr(128512) || '/3>'")
+def match_escaped_iri(spark, d):
+    """Found by its characters; the graph is bound by its escapes."""
+    return QuadStore.build(_escaped(spark, d), layout="dictionary").match(s=f"{X}\u00e9\U0001F600/3", g=f"<{X}g\\u00e9>").quads()
+
+
+@query(f"{_Q} select * from q")
+def arrow_bytes(spark, d):
+    """Through Arrow IPC and back, with the dictionary behind the codes."""
+    return QuadStore.from_bytes(spark, _stored(spark, d, "dictionary", "by_copy").to_bytes()).quads()
+
+
+@query(f"{_Q} select * from q where o = '\"BUILDING\"@en'")
+def arrow_bytes_typed(spark, d):
+    return QuadStore.from_bytes(spark, _stored(spark, d, "typed_object", "by_reference").to_bytes()).match(o='"BUILDING"@en').quads()
+
+
+@query(f"{_Q} select * from q where {_where({'p': NATION, 'o': THIRD})}")
+def match_loaded(spark, d):
+    """Of a store held in memory."""
+    store = QuadStore.load(spark, _stored(spark, d).path)
+    return store.match(p=NATION, o=THIRD).quads()
+
+
+@query(f"{_Q} select * from q where o = '{THIRD}'")
+def match_not_resident(spark, d):
+    """With a dictionary that is never broadcast."""
+    return QuadStore.open(spark, _stored(spark, d, "dictionary", "by_copy").path, resident_terms=0).match(o=THIRD).quads()
+
+
+@query(f"{_Q} select * from q")
+def decode_not_resident(spark, d):
+    return QuadStore.open(spark, _stored(spark, d, "dictionary", "by_copy").path, resident_terms=0).quads()
+
+
 @query("with i as (select range i from range(100000)) select '<http://example.org/subject/' || i || '>' s, '<http://example.org/predicate/' || i % 100 || '>' p, '<http://example.org/object/' || i % 50 || '>' o, '<http://example.org/graph/' || i % 10 || '>' g from i")
 def gen_scan(spark, d):
     return rdf_text.generated(spark, 100_000)
