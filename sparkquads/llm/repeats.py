@@ -51,7 +51,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, int, DataFrame]:
         lists = places.where(F.col("hot") == hot).groupBy("d", "t").agg(F.array_sort(F.collect_set("h")).alias("phrases"))
         return slim.join(lists, ["d", "t"]).select("d", "text", "phrases")
 
-    return having(False), counted.get(False, 0), _hot_spans(having(True))
+    hot = _hot_spans(having(True)) if counted.get(True) else docs.sparkSession.createDataFrame([], SPANS)
+    return having(False), counted.get(False, 0), hot
 
 
 def _hot_spans(texts: DataFrame) -> DataFrame:
