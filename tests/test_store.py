@@ -179,6 +179,25 @@ def test_bytes_tables_and_memory(spark, tmp_path, layout):
         QuadStore.from_bytes(spark, b"")
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_bytes_in_a_folder_pass_the_driver_by(spark, layout, monkeypatch):
+    """The quads are never on the driver: an Arrow table or Python rows of them would be an error."""
+
+    def no(*_, **__):
+        raise AssertionError("all on the driver")
+
+    quads = [*example(), *example(3), (f"<{E}s01>", f"<{E}p1>", '"say \\"hi\\""@en', "")]
+    store = build(spark, quads, layout=layout, indexes=["by_copy"])
+    for name in ("ready", "to_bytes", "from_bytes"):
+        monkeypatch.setattr(QuadStore, name, no)
+    again = QuadStore.read_bytes(spark, store.write_bytes())
+    assert rows(again.quads()) == Counter(quads) and (again.layout, again.indexes) == (layout, ("by_copy",))
+    changed = store.add([("_:new", E + "p1", '"x"')]).delete(p=E + "p0")
+    want = Counter([*[q for q in quads if q[1] != f"<{E}p0>"], ("_:new", f"<{E}p1>", '"x"', "")])
+    assert rows(QuadStore.read_bytes(spark, changed.write_bytes(), indexes=[]).quads()) == want
+    assert QuadStore.read_bytes(spark, store.match(p=E + "none").write_bytes(), layout="default", indexes=[]).size() == 0
+
+
 def test_tables_tell_their_layout(spark):
     encoded = pa.table({c: pa.array(x).dictionary_encode() for c, x in zip("spog", zip(*example()))})
     assert rows(QuadStore.from_table(encoded, spark=spark).quads()) == Counter(example())
