@@ -256,3 +256,28 @@ def test_two_writers_of_a_version(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         store.add([("<a:s>", "<a:p>", "<a:other>")])
     assert QuadStore.open(spark, path).size() == 25 and not list(tmp_path.glob("store/.manifest*json-*"))
+
+
+def test_equal_quads_and_hot_terms_are_spread(spark, monkeypatch):
+    """Parts are as many as the rows ask for, and no value fills one; the results are those of a broadcast."""
+    from sparkquads import storage
+    from sparkquads.operators import layouts
+
+    monkeypatch.setattr(storage, "PART", 64)
+    monkeypatch.setattr(layouts, "HOT", 50)
+    monkeypatch.setattr(layouts, "MOST_BROADCAST_TERMS", 2)
+    quads = [(f"<{E}s>", f"<{E}p>", '"x"', "")] * 600 + example()
+    store = build(spark, quads, layout="dictionary")
+    files = spark.read.parquet(store.manifest["base"]).selectExpr("input_file_name() f").groupBy("f").count().collect()
+    assert max(r["count"] for r in files) <= 400 and rows(store.quads()) == Counter(quads)
+
+
+def test_deleting_keeps_what_is_gone_as_patterns(spark, monkeypatch):
+    from sparkquads import store as module
+
+    monkeypatch.setattr(module, "GONE", 1)
+    store = build(spark, example(), layout="typed_object").delete(p=E + "p0")
+    assert store.manifest["gone"] == [{"p": f"<{E}p0>"}] and not store.manifest["tombs"]
+    fewer = store.delete(o='"object 1"')
+    assert len(fewer.manifest["tombs"]) == 1
+    assert rows(fewer.quads()) == Counter(q for q in example() if q[1] != f"<{E}p0>" and q[2] != '"object 1"') and fewer.size() == len(list(fewer))
