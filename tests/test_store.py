@@ -281,3 +281,18 @@ def test_deleting_keeps_what_is_gone_as_patterns(spark, monkeypatch):
     fewer = store.delete(o='"object 1"')
     assert len(fewer.manifest["tombs"]) == 1
     assert rows(fewer.quads()) == Counter(q for q in example() if q[1] != f"<{E}p0>" and q[2] != '"object 1"') and fewer.size() == len(list(fewer))
+
+
+def test_encoding_sorts_no_quads_and_carries_no_term_twice(spark, monkeypatch, capsys):
+    from sparkquads.operators import layouts
+
+    words = layouts.dictionary(spark.createDataFrame(example(), QUADS)).localCheckpoint()
+    layouts.encoded(spark.createDataFrame(example(), QUADS), words, words.count(), most=0, hot={"s": [], "o": []}).explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and " AS _j#" not in plan
+    quads = spark.createDataFrame(example(), QUADS)
+    pairs = quads.groupBy("p", "g").count()
+    assert rows(layouts.dictionary(quads, pairs)) == rows(words)
+    assert layouts.hot_values(quads, "so", 24) == {"s": [], "o": []}
+    monkeypatch.setattr(layouts, "HOT", 6)
+    assert sorted(layouts.hot_values(quads, "so", 24)["o"]) == [f'"object {i}"' for i in range(4)]
