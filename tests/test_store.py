@@ -296,3 +296,40 @@ def test_encoding_sorts_no_quads_and_carries_no_term_twice(spark, monkeypatch, c
     assert layouts.hot_values(quads, "so", 24) == {"s": [], "o": []}
     monkeypatch.setattr(layouts, "HOT", 6)
     assert sorted(layouts.hot_values(quads, "so", 24)["o"]) == [f'"object {i}"' for i in range(4)]
+
+
+def test_a_dictionary_is_compacted_by_codes(spark, monkeypatch):
+    """The same dictionary, codes and rows as those of a new store, without decoding; where too much changes, by terms."""
+    from sparkquads import store as module
+    from sparkquads.operators import layouts
+
+    odd = [("_:z", f"<{E}p9>", '"\uffee"', f"<{E}h>"), ("_:z", f"<{E}p9>", '"\U0001F600"', "")]
+    new = [(f"<{E}a>", f"<{E}p1>", '"object 1"', ""), (f"<{E}s05>", f"<{E}p2>", '"zz"@en', f"<{E}new>"), ("_:z", f"<{E}p9>", '"\uffff"', "")]
+    store = build(spark, [*example(), *example(3), *odd], layout="dictionary", indexes=["by_copy"]).delete(p=E + "p0").delete(o='"\U0001F600"').add(new)
+    want = [*[q for q in [*example(), *example(3)] if q[1] != f"<{E}p0>"], odd[0], *new]
+    anew = build(spark, want, layout="dictionary", indexes=["by_copy"])
+
+    def same(packed):
+        assert rows(packed.terms()) == rows(anew.terms()) and packed.manifest["terms"] == anew.manifest["terms"]
+        for name in ("base", "posg", "ospg", "dict_p", "dict_g"):
+            columns = [c for c in packed._read(name).columns if c != "rid"]
+            assert rows(packed._read(name).select(columns)) == rows(anew._read(name).select(columns)), name
+        assert not packed._fewer and packed.tail_len() == 0 and packed.manifest["base_rows"] == len(want)
+        assert [packed.manifest[f"terms_{c}"] for c in "pg"] == [anew.manifest[f"terms_{c}"] for c in "pg"]
+
+    folded = []
+    written = module.written
+    monkeypatch.setattr(module, "written", lambda df, path: folded.append(path) or written(df, path))
+    packed = store.compact()
+    same(packed)
+    assert not any("folded" in p for p in folded)
+    assert rows(packed.quads()) == Counter(want)
+    again = packed.compact(indexes=[])  # nothing comes or goes
+    assert rows(again.terms()) == rows(anew.terms()) and rows(again.codes()) == rows(anew.codes())
+    version = QuadStore(spark, store.path, store.manifest | {"version": again.manifest["version"]})
+    monkeypatch.setattr(module, "FEW", 2)
+    same(version.compact())
+    monkeypatch.setattr(module, "FEW", 4096)
+    monkeypatch.setattr(layouts, "MOST_BROADCAST_TERMS", 1)
+    same(QuadStore(spark, store.path, store.manifest | {"version": again.manifest["version"] + 1}).compact())
+    assert sum("folded" in p for p in folded) == 2
