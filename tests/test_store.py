@@ -333,3 +333,23 @@ def test_a_dictionary_is_compacted_by_codes(spark, monkeypatch):
     monkeypatch.setattr(layouts, "MOST_BROADCAST_TERMS", 1)
     same(QuadStore(spark, store.path, store.manifest | {"version": again.manifest["version"] + 1}).compact())
     assert sum("folded" in p for p in folded) == 2
+
+
+@pytest.mark.parametrize("name,columns", [("index_posg", "posg"), ("index_ospg", "ospg"), ("index_ref_p", "p"), ("index_ref_o", "o")])
+def test_row_ids_are_numbered_where_they_lie(spark, monkeypatch, capsys, name, columns):
+    """By many files, without moving a row."""
+    from sparkquads import queries, storage
+    from sparkquads.sources import mapping
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(storage, "PART", 2_000)
+    monkeypatch.setattr(queries, "_STORES", {})
+    found = queries.QUERIES[name](spark, sf)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    base = sorted(tuple(r) for r in mapping.quads(spark, sf).collect())
+    assert len({r[0] for r in queries._stored(spark, sf, *(("default", "by_copy") if len(columns) > 1 else ("typed_object" if columns == "p" else "default", "by_reference")))._read("base").selectExpr("rid >> 33").collect()}) > 5
+    order = sorted(range(len(base)), key=lambda i: ([base[i]["spog".index(c)] for c in columns], i))
+    want = [((*base[i], i, at) if len(columns) > 1 else (base[i]["spog".index(columns)], i, at)) for at, i in enumerate(order)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
