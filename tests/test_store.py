@@ -353,3 +353,18 @@ def test_row_ids_are_numbered_where_they_lie(spark, monkeypatch, capsys, name, c
     order = sorted(range(len(base)), key=lambda i: ([base[i]["spog".index(c)] for c in columns], i))
     want = [((*base[i], i, at) if len(columns) > 1 else (base[i]["spog".index(columns)], i, at)) for at, i in enumerate(order)]
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_adding_to_an_empty_store_looks_nothing_up(spark, monkeypatch, layout):
+    """The quads are written once, and what a tail holds already isn't added again."""
+    from sparkquads import store as module
+
+    parts = []
+    monkeypatch.setattr(module, "written", lambda df, path: parts.append(path) or df)
+    monkeypatch.setattr(QuadStore, "_present", None)
+    empty = QuadStore(spark, module.fresh(spark, "empty"), QuadStore._blank("", layout, (), "sorted_stream", 0) | {"base_rows": 0})
+    store = empty.add(spark.createDataFrame([*example(9), *example(3)], QUADS))
+    assert not parts and store.tail_len() == 9
+    more = store.add(spark.createDataFrame(example(12), QUADS))
+    assert more.tail_len() == 12 and rows(more._tail()) == Counter(example(12)) and more.add(spark.createDataFrame(example(5), QUADS)) is more
